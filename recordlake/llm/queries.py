@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tools, quality, url_filter
+from . import chat_tools, decontamination, packing, quality, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,11 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _over("pages", url_filter.op1_url_filter),
+    "op2_token_counts": _over("documents", tokens.op2_token_counts),
     "op7_quality": _over("documents", quality.op7_quality),
+    "op8_packing": _over("documents", packing.op8_packing),
     "op9_tool_calls": _over("conversations", chat_tools.op9_tool_calls),
+    "op10_decontamination": lambda spark, sf_dir: decontamination.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 SQL: dict[str, str] = {}

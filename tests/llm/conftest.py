@@ -1,0 +1,10 @@
+from __future__ import annotations
+
+import pytest
+
+from recordlake.session import get_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return get_session("llm-tests", master="local[4]", shuffle_partitions=4)
