@@ -31,9 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """doc_id and text only, so that other columns can't clash; null text is empty."""
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def documents(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text, so that other columns can't clash; null text is empty. Columns to carry along become carry_0, ..."""
+    also = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)]
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *also)
+
+
+def carried(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("carry_")]
+
+
+def carried_schema(df: DataFrame) -> str:
+    """The carried columns' part of a schema text."""
+    return "".join(f", {f.name} {f.dataType.simpleString()}" for f in df.schema if f.name.startswith("carry_"))
 
 
 #: ASCII white space, the word separator of the white-space word rule.

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, documents, nullable_ints, slices
+from .common import alnum_words, carried, carried_schema, documents, nullable_ints, slices
 
 WINDOW = 10
 #: Bytes of benchmark text searched for at a time; more is searched in blocks.
@@ -209,14 +209,17 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases
     return [phrases([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window) for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges) and clean_text, if asked for, else null.
+    Columns named in `carry` come along as carry_0, ...
 
     Benchmark items are the stated query set: they are searched for in blocks of `block_bytes`, each broadcast,
     in one pass over the documents. Items without id, text or words match nothing; items that share an id count once.
     Null text has no words. Repeated documents are judged each alike. Nothing is shuffled.
     """
     sc = docs.sparkSession.sparkContext
+    own = documents(docs, carry)
+    also = carried(own)
     blocks = [sc.broadcast(p) for p in _blocks(benchmark, window, block_bytes)]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     spans[d].append((at, at + n))
                     items[d].update(own)
             merged = [_merged(s) if s else s for s in spans]
-            yield pd.DataFrame(
+            out = pd.DataFrame(
                 {
                     "doc_id": nullable_ints(f["doc_id"]),
                     "n_words": [len(w) for w in words],
@@ -243,9 +246,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     "clean_text": [_without(t, s) if clean and s else t if clean else None for t, s in zip(f["text"], merged, strict=True)],
                 }
             )
+            yield out.assign(**{c: f[c] for c in also})
 
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<first:bigint,end:bigint>>, clean_text string"
-    return documents(docs).mapInPandas(search, schema)
+    return own.mapInPandas(search, schema + carried_schema(own))
 
 
 def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

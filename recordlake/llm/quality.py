@@ -74,8 +74,8 @@ def _bad(e: Column, r: QualityRules) -> Column:
     return navigation | symbols | shouting | marks | stuffing | unpunctuated | boilerplate
 
 
-def quality(docs: DataFrame, text: str = "text", rules: QualityRules | None = None) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and clean_text.
+def quality(docs: DataFrame, text: str = "text", rules: QualityRules | None = None, clean: bool = True) -> DataFrame:
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and, if `clean`, clean_text.
 
     Any columns of `docs` stay, but those of the names just listed are replaced.
     Null text counts as empty: no words, base_failed, not kept, clean_text ''.
@@ -124,7 +124,12 @@ def quality(docs: DataFrame, text: str = "text", rules: QualityRules | None = No
     failed = (F.col("n_words") < r.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * r.max_repeat_pct)
     step = step.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("lost") * 100 <= F.col("total") * r.max_lost_pct)
-    return step.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(extra)), *OUTPUTS[:-2], kept.alias("kept"), "clean_text")
+    outputs = [c for c in OUTPUTS if clean or c != "clean_text"]
+    # The results pass a generator of one row: a filter on them would else be pushed below the steps above, and arrays be
+    # made anew for each of their elements.
+    made = F.explode(F.array(F.struct(*(kept.alias(c) if c == "kept" else F.col(c) for c in outputs))))
+    step = step.select(*(f"__{i}" for i in range(len(extra))), made.alias("made"))
+    return step.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(extra)), *(F.col(f"made.{c}").alias(c) for c in outputs))
 
 
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
@@ -132,4 +137,4 @@ OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def op7_quality(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed and kept."""
-    return quality(docs.select("doc_id", "text")).select("doc_id", *OUTPUTS[:-1])
+    return quality(docs.select("doc_id", "text"), clean=False).select("doc_id", *OUTPUTS[:-1])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tools, decontamination, licenses, packing, quality, simhash, tokens, toxicity, url_filter
+from . import chat_tools, decontamination, licenses, packing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _over("pages", url_filter.op1_url_filter),
     "op2_token_counts": _over("documents", tokens.op2_token_counts),
+    "op3_suffix_dedup": _over("documents", suffix_dedup.op3_suffix_dedup),
     "op4_simhash": _over("documents", simhash.op4_simhash),
     "op5_license_scan": _over("documents", licenses.op5_license_scan),
     "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),

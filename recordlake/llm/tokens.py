@@ -25,8 +25,12 @@ VOCABULARY = "word_bpe_49k.json"
 CHUNK, OVERLAP = 32_768, 256
 #: Tokens before and after a boundary that both chunks must agree on.
 GUARD = 2
-#: Words whose tokens a worker remembers; beyond it starts anew, which bounds its memory.
-MEMO_WORDS = 400_000
+#: Words as written and plain letter words whose tokens a worker remembers; beyond it starts anew, which bounds its memory.
+MEMO_WORDS, MEMO_LETTERS = 500_000, 1_000_000
+#: Letter words that are encoded as one text.
+JOINED = 2_000
+#: Marks that may follow a letter word; they are a pre-token of their own.
+MARKS = ".,;:!?"
 
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -57,30 +61,74 @@ def drops_white_space(config: dict) -> bool:
 
 
 class Words:
-    """Ids of white-space separated words as little-endian 32-bit bytes, remembered between batches."""
+    """Ids of white-space separated words as little-endian 32-bit bytes, remembered between batches.
+
+    A Latin letter word with marks behind it is two pre-tokens, and a letter word has the ids of its lower-cased form, so
+    these parts are remembered by themselves. All ids come from the library.
+    """
 
     def __init__(self, name: str) -> None:
         self.tokenizer = _tokenizer(name)
         with open(vocabulary_path(name)) as f:
-            self.free = drops_white_space(json.load(f))
+            config = json.load(f)
+        self.free = drops_white_space(config)
+        suffix = config["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.lowers = any(x.get("type") == "Lowercase" for x in (config.get("normalizer") or {}).get("normalizers", []))
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letter_ids(self, words: list[str]) -> list[bytes]:
+        """Words of one pre-token each, encoded as one text and cut behind the tokens that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._ids(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist(), strict=True)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.parts) > MEMO_LETTERS:
+            self.parts.clear()
+        plans, letters, others = [], set(), set()
+        parts = self.parts
+        for w in words:
+            word = w.decode("utf-8", "replace")
+            body = word.rstrip(MARKS)
+            key = body.lower()
+            if self.lowers and body.isalpha() and key.isalpha() and max(body) < "\u0250":
+                plan = (key, word[len(body) :])
+                if key not in parts:
+                    letters.add(key)
+            else:
+                plan = ("", word)
+            if plan[1] and plan[1] not in parts:
+                others.add(plan[1])
+            plans.append(plan)
+        for find, new, step in ((self._letter_ids, list(letters), JOINED), (self._ids, list(others - letters), 20_000)):
+            for at in range(0, len(new), step):
+                some = new[at : at + step]
+                parts.update(zip(some, find(some), strict=True))
+        self.known.update((w, (parts[a] if a else b"") + (parts[b] if b else b"")) for w, (a, b) in zip(words, plans, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, the same as the library gives for the whole text."""
         if not self.free:
             return self._ids(texts)
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*words) - known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True))
-        get = known.__getitem__
+        new = list(set().union(*words) - self.known.keys())
+        if new:
+            if len(self.known) + len(new) > MEMO_WORDS:
+                self.known.clear()
+                new = list(set().union(*words))
+            self._learn(new)
+        get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
