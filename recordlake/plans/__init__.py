@@ -1,6 +1,6 @@
 """Query catalogue of the record archive engine."""
 
-from . import tag_queries  # noqa: F401
+from . import tag_queries, temporal_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -28,7 +28,7 @@ def labels(t: Tables) -> DataFrame:
 
 # Observations are events: entity user, path event type, value k; metrics k and value; runs are days.
 OBS = """obs AS (
-  SELECT user_id AS entity_id, event_id AS pos, ts AS at, event_type AS path, value,
+  SELECT user_id AS entity_id, event_id AS pos, ts, event_type AS path, value,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ts AS DATE) AS day,
     CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'public' END AS status,
     CASE WHEN event_id % 2 = 0 THEN 'api' ELSE 'listing' END AS source
@@ -40,7 +40,7 @@ def observations(t: Tables) -> DataFrame:
     return e.select(
         F.col("user_id").alias("entity_id"),
         F.col("event_id").alias("pos"),
-        F.col("ts").alias("at"),
+        F.col("ts").cast("timestamp").alias("at"),
         F.col("event_type").alias("path"),
         "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
@@ -53,7 +53,7 @@ def observations(t: Tables) -> DataFrame:
 # Runs are days of events; totals grow, every seventh day repeats the total of the day before.
 RUNS = """days AS (SELECT day, count(*) AS n, count(*) FILTER (path = 'error') AS errors FROM obs GROUP BY day),
 runs AS (
-  SELECT CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS at, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total, CAST(n AS BIGINT) AS pages, CAST(errors AS BIGINT) AS errors,
+  SELECT CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS run_at, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total, CAST(n AS BIGINT) AS pages, CAST(errors AS BIGINT) AS errors,
     CASE WHEN day(day) % 7 = 0 THEN 'carried-forward' ELSE 'search' END AS count_source
   FROM days)"""
 
@@ -64,7 +64,7 @@ def runs(t: Tables) -> DataFrame:
 
     days = observations(t).groupBy("day").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("path") == "error").alias("errors"))
     return days.select(
-        F.unix_timestamp(F.col("day").cast("timestamp")).alias("at"),
+        F.unix_timestamp(F.col("day").cast("timestamp")).alias("run_at"),
         F.sum("pages").over(Window.orderBy("day")).alias("total"),
         "pages",
         "errors",
