@@ -1,6 +1,6 @@
 """Query catalogue of the record archive engine."""
 
-from . import audit_queries, tag_queries, temporal_queries  # noqa: F401
+from . import audit_queries, browse_queries, tag_queries, temporal_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
