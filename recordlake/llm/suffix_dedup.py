@@ -11,6 +11,7 @@ a string that very many documents share takes one entry a batch.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +109,21 @@ def _split_rows(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _shards(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    return ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """Low 32 bits: enough to tell anchors of one shard apart, as a mistaken match only costs a comparison."""
+    return hashes.astype(np.uint32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending integers as compressed differences."""
+    return zlib.compress(np.diff(values, prepend=0).astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64))
 
 
 def _anchor_entries(n_shards: int):  # noqa: ANN202
@@ -133,12 +148,12 @@ def _anchor_entries(n_shards: int):  # noqa: ANN202
             # Of each anchor the least and the greatest document stand for all of the batch.
             entry_h, entry_doc = np.concatenate([h[starts], h[ends[many]]]), np.concatenate([doc[starts], doc[ends[many]]])
             shard = _shards(entry_h, n_shards)
-            order = np.argsort(shard, kind="stable")
-            shard, entry_h, entry_doc = shard[order], entry_h[order], entry_doc[order]
-            rows = [(int(shard[a]), None, entry_h[a:b].tobytes(), entry_doc[a:b].tobytes()) for a, b in _split_rows(shard)]
+            order = np.lexsort((entry_doc, shard))
+            shard, entry_h, entry_doc = shard[order], _short(entry_h[order]), entry_doc[order]
+            rows = [(int(shard[a]), None, entry_h[a:b].tobytes(), _packed(entry_doc[a:b])) for a, b in _split_rows(shard)]
             shared = np.repeat(many, ends - starts + 1)
             order = np.argsort(doc[shared], kind="stable")
-            doc, h = doc[shared][order], h[shared][order]
+            doc, h = doc[shared][order], _short(h[shared][order])
             rows += [(int(doc[a]) % n_shards, int(doc[a]), h[a:b].tobytes(), None) for a, b in _split_rows(doc)]
             out = pd.DataFrame(rows, columns=["shard", "doc_id", "hashes", "docs"])
             yield out.astype({"doc_id": "Int64"})
@@ -152,8 +167,8 @@ def _shared_anchors(f: pd.DataFrame) -> pd.DataFrame:
     out = f.loc[known, ["doc_id", "hashes"]]
     rest = f.loc[~known]
     if len(rest):
-        h = np.frombuffer(b"".join(rest["hashes"]), np.uint64)
-        doc = np.frombuffer(b"".join(rest["docs"]), np.int64)
+        h = np.frombuffer(b"".join(rest["hashes"]), np.uint32)
+        doc = np.concatenate([_unpacked(x) for x in rest["docs"]])
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -175,7 +190,7 @@ def _fragments(n_shards: int):  # noqa: ANN202
         for f in frames:
             f = f.sort_values("doc_id", kind="stable", ignore_index=True)
             ids, keys, texts = f["doc_id"].to_numpy(np.int64), f["text_key"].to_numpy(np.int64), _encode(f["text"])
-            wanted = [np.frombuffer(b"".join(x), np.uint64) for x in f["hashes"]]
+            wanted = [np.frombuffer(b"".join(x), np.uint32) for x in f["hashes"]]
             least: dict[bytes, int] = {}
             own: list[tuple[int, bytes, int, int, int]] = []
             lost: list[tuple[int, int, int, int]] = []
@@ -183,10 +198,10 @@ def _fragments(n_shards: int):  # noqa: ANN202
                 text, h, a, b = anchored(data, starts)
                 if not len(text):
                     continue
-                mix = lambda doc, x: x ^ ((doc + 1).astype(np.uint64) * np.uint64(_STEP))
+                mix = lambda doc, x: x.astype(np.uint64) | (doc.astype(np.uint64) << np.uint64(32))
                 count = range(first, first + len(starts))
                 ask = np.concatenate([mix(np.full(len(wanted[i]), i), wanted[i]) for i in count])
-                use = np.flatnonzero(np.isin(mix(first + text, h), ask))
+                use = np.flatnonzero(np.isin(mix(first + text, _short(h)), ask))
                 for i, x, p, q, s in zip((first + text[use]).tolist(), h[use].tolist(), a[use].tolist(), b[use].tolist(), starts[text[use]].tolist(), strict=True):
                     piece, doc = raw[p : q + WINDOW], int(ids[i])
                     if least.setdefault(piece, doc) == doc:
@@ -202,7 +217,7 @@ def _fragments(n_shards: int):  # noqa: ANN202
                     part = [own[i] for i in order[a:b]]
                     h, piece, doc, key, at = zip(*part, strict=True)
                     packed = (np.array(x, t).tobytes() for x, t in (([len(y) for y in piece], np.int32), (doc, np.int64), (key, np.int64), (at, np.int32)))
-                    rows.append((int(shard[a]), np.array(h, np.uint64).tobytes(), b"".join(piece), *packed))
+                    rows.append((int(shard[a]), np.array(h, np.uint64).tobytes(), zlib.compress(b"".join(piece), 1), *packed))
             if lost:
                 # The same document's stretches, joined where they touch.
                 lost.sort()
@@ -229,7 +244,7 @@ def _sort_shard(f: pd.DataFrame) -> pd.DataFrame:
         out.append(np.stack([unpack("docs", np.int64, passed), unpack("texts", np.int64, passed), at, at + unpack("sizes", np.int32, passed)], axis=1))
     f = f[f["hashes"].notna()]
     if len(f):
-        raw = b"".join(f["text"])
+        raw = b"".join(map(zlib.decompress, f["text"]))
         sizes, doc, key, at = unpack("sizes", np.int32, f), unpack("docs", np.int64, f), unpack("texts", np.int64, f), unpack("places", np.int32, f)
         h = np.frombuffer(b"".join(f["hashes"]), np.uint64)
         ends = np.cumsum(sizes)
@@ -284,18 +299,23 @@ def _sort_fragments(texts: list[bytes], doc: np.ndarray) -> dict[int, list[tuple
     return out
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), begin, stop: byte ranges covered by WINDOW-byte strings of smaller documents."""
-    own = documents(docs).where("doc_id is not null").where(F.octet_length("text") >= WINDOW)
+def _identified(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return documents(docs, carry).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+
+
+def repeated_ranges(own: DataFrame) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), begin, stop: byte ranges covered by WINDOW-byte strings of smaller documents.
+
+    `own`: doc_id, text, text_key.
+    """
     n_bytes = own.agg(F.sum(F.octet_length("text").cast("bigint"))).head()[0] or 0
     n_shards = max(8, n_bytes // SHARD_BYTES)
-    entries = own.mapInPandas(_anchor_entries(n_shards), "shard bigint, doc_id bigint, hashes binary, docs binary")
+    entries = own.select("doc_id", "text").mapInPandas(_anchor_entries(n_shards), "shard bigint, doc_id bigint, hashes binary, docs binary")
     shared = entries.groupBy("shard").applyInPandas(_shared_anchors, "doc_id bigint, hashes binary")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    keyed = own.withColumn("text_key", F.xxhash64("text"))
     columns = "shard bigint, hashes binary, text binary, sizes binary, docs binary, texts binary, places binary"
-    fragments = keyed.join(wanted, "doc_id").select("doc_id", "text_key", "text", "hashes").mapInPandas(_fragments(n_shards), columns)
-    return fragments.groupBy("shard").applyInPandas(_sort_shard, "doc_id bigint, text_key bigint, begin bigint, stop bigint")
+    fragments = own.join(wanted, "doc_id").mapInPandas(_fragments(n_shards), columns)
+    return fragments.groupBy("shard").applyInPandas(_sort_shard, "doc_id bigint, text_key bigint, begin int, stop int")
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -305,20 +325,25 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     doc_id are one document's texts: they don't remove from each other. Strings are judged on the input. kept may not
     be valid UTF-8, as strings may begin and end inside a character. Columns named in `carry` come along as carry_0, ...
     """
-    spans = repeated_ranges(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    keyed = documents(docs, carry).withColumn("text_key", F.xxhash64("text"))
-    also = carried(keyed)
-    joined = keyed.join(spans.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    flat = joined.select("doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.stop").alias("stop"), *also)
+    # The texts are dealt out by doc_id twice, to find fragments and to cut; both joins take the same columns, so that
+    # Spark shuffles the texts once.
+    own = _identified(docs, carry)
+    also = carried(own)
+    spans = repeated_ranges(own).groupBy("doc_id").agg(F.collect_list("text_key").alias("keys"), F.collect_list("begin").alias("begin"), F.collect_list("stop").alias("stop"))
+    nameless = documents(docs, carry).where("doc_id is null").withColumn("text_key", F.xxhash64("text"))
+    empty = {"keys": "array<bigint>", "begin": "array<int>", "stop": "array<int>"}
+    flat = own.join(spans, "doc_id", "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for doc_id, text, begin, stop in zip(f["doc_id"], _encode(f["text"]), f["begin"], f["stop"], strict=True):
+            for doc_id, text, key, keys, begin, stop in zip(f["doc_id"], _encode(f["text"]), f["text_key"], f["keys"], f["begin"], f["stop"], strict=True):
                 kept, spans = text, 0
-                if begin is not None:
-                    order = np.argsort(begin, kind="stable")
-                    a, b = np.asarray(begin)[order], np.maximum.accumulate(np.asarray(stop)[order])
+                mine = np.asarray(keys) == key if keys is not None else np.zeros(0, bool)
+                if mine.any():
+                    a, b = np.asarray(begin)[mine], np.asarray(stop)[mine]
+                    order = np.argsort(a, kind="stable")
+                    a, b = a[order], np.maximum.accumulate(b[order])
                     new = np.append(True, a[1:] > b[:-1])
                     a, b = a[new], b[np.append(new[1:], True)]
                     spans = len(a)
@@ -327,7 +352,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             yield out.astype({"doc_id": "Int64"}).assign(**{c: f[c] for c in also})
 
-    return flat.mapInPandas(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary" + carried_schema(flat))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary" + carried_schema(own)
+    whole = nameless.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()}).select(*flat.columns)
+    return flat.mapInPandas(cut, schema).unionByName(whole.mapInPandas(cut, schema))
 
 
 def op3_suffix_dedup(docs: DataFrame) -> DataFrame:
