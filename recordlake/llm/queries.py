@@ -29,4 +29,71 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": lambda spark, sf_dir: decontamination.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in url_filter.RULES)
+
+URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS r FROM u),
+rules(rule_host, rule_path, action) AS (VALUES {_RULES}),
+best AS (SELECT r, arg_max((rule_host || rule_path, action), length(rule_host || rule_path)) AS b FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+SELECT page_id, host, path, b[1] AS rule, coalesce(b[2], 'allow') AS verdict FROM h LEFT JOIN best USING (r)"""
+
+_SPACE = r"[^\x20\x09-\x0D]"
+_Q = quality.QualityRules()
+
+
+def _count_sql(x: str, needles: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"(strlen({x}) - strlen(replace({x}, '{n}', ''))) // {len(n.encode())}" for n in needles) + ")"
+
+
+_BAD = f"""({_count_sql('x', quality.SEPARATORS)} * 100 > len(lw) * {_Q.max_separator_pct}
+  OR {_count_sql('x', quality.SYMBOLS)} * 100 > strlen(x) * {_Q.max_symbol_pct}
+  OR (strlen(x) >= {_Q.min_shout_bytes} AND upper(x) = x AND lower(x) <> x)
+  OR {_count_sql('x', ('!!', '??', ',,', ';;'))} > {_Q.max_double_marks}
+  OR (len(lw) >= {_Q.min_distinct_of_words} AND len(list_distinct(lw)) * 100 < len(lw) * {_Q.min_distinct_pct})
+  OR (len(lw) > {_Q.max_unpunctuated_words} AND NOT regexp_matches(x, '[.,;:!?。、]'))
+  OR (len(lw) <= {_Q.boilerplate_words} AND regexp_matches(lower(x), '{'|'.join(quality.BOILERPLATE)}')))"""
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS w FROM documents),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, range(3) x(o) GROUP BY r),
+l AS (SELECT r, x, regexp_extract_all(x, '{_SPACE}+') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_SPACE}')),
+lines AS (SELECT r, count(*) - count(DISTINCT x) AS dup, sum(strlen(x)) AS total, coalesce(sum(strlen(x)) FILTER ({_BAD}), 0) AS lost FROM l GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({_count_sql('t', quality.SYMBOLS)} AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(total, 0) AS total
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+f AS (SELECT *, n_words < {_Q.min_words} OR 100 * n_repeat_words > {_Q.max_repeat_pct} * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost * 100 <= total * {_Q.max_lost_pct} AS kept FROM f"""
+
+TOOL_SQL = """
+WITH calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, c.call_id, c.turn, 'reply' AS name, 0 AS level, CASE WHEN r.turn IS NULL THEN 'no result' ELSE '' END AS problems, r.turn AS result_turn,
+  CAST(CASE WHEN r.turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results,
+  '{"arguments":{"prompt":' || to_json(c.text)::VARCHAR || '},"id":"' || c.call_id || '","name":"reply"' || CASE WHEN r.text IS NULL THEN '' ELSE ',"result":' || to_json(r.text)::VARCHAR END || '}' AS json
+FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_N = decontamination.WINDOW
+DECONTAMINATION_SQL = f"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, len(w[i:i + {_N - 1}]) AS n, w[i:i + {_N - 1}] AS g FROM (SELECT *, unnest(range(1, greatest(1, len(w) - {_N - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents),
+dw AS (SELECT r, i, n, w[i:i + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+hits AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, g)),
+words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+#: The other operators need a tokenizer, XXH64, byte windows, templates or fitted weights; tests hold them against brute-force versions.
+SQL: dict[str, str] = {
+    "op1_url_filter": URL_SQL,
+    "op7_quality": QUALITY_SQL,
+    "op9_tool_calls": TOOL_SQL,
+    "op10_decontamination": DECONTAMINATION_SQL,
+}
