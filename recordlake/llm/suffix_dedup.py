@@ -161,25 +161,38 @@ def _anchor_entries(n_shards: int):  # noqa: ANN202
     return run
 
 
-def _shared_anchors(f: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: the anchors that two and more documents have, per document; entries known as shared pass through."""
-    known = f["doc_id"].notna()
-    out = f.loc[known, ["doc_id", "hashes"]]
-    rest = f.loc[~known]
-    if len(rest):
-        h = np.frombuffer(b"".join(rest["hashes"]), np.uint32)
-        doc = np.concatenate([_unpacked(x) for x in rest["docs"]])
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        use = np.repeat(several, np.diff(starts, append=len(h)))
-        h, doc = h[use], doc[use]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        rows = [(int(doc[a]), h[a:b].tobytes()) for a, b in _split_rows(doc)]
-        out = pd.concat([out, pd.DataFrame(rows, columns=["doc_id", "hashes"])], ignore_index=True)
-    return out.astype({"doc_id": "Int64"})
+def _shared_anchors(n_shards: int):  # noqa: ANN202
+    """Of one shard: the anchors that two and more documents have, packed by buckets of documents; entries known as shared go along."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        known = f[f["doc_id"].notna()]
+        rest = f[f["doc_id"].isna()]
+        doc = np.repeat(known["doc_id"].to_numpy(np.int64), [len(x) // 4 for x in known["hashes"]])
+        h = np.frombuffer(b"".join(known["hashes"]), np.uint32)
+        if len(rest):
+            entry = np.frombuffer(b"".join(rest["hashes"]), np.uint32)
+            own = np.concatenate([_unpacked(x) for x in rest["docs"]])
+            order = np.argsort(entry, kind="stable")
+            entry, own = entry[order], own[order]
+            starts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+            several = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+            use = np.repeat(several, np.diff(starts, append=len(entry)))
+            doc, h = np.concatenate([doc, own[use]]), np.concatenate([h, entry[use]])
+        bucket = doc % n_shards
+        order = np.lexsort((doc, bucket))
+        bucket, doc, h = bucket[order], doc[order], h[order]
+        return pd.DataFrame([(int(bucket[a]), _packed(doc[a:b]), h[a:b].tobytes()) for a, b in _split_rows(bucket)], columns=["bucket", "docs", "hashes"])
+
+    return run
+
+
+def _per_document(f: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the shared anchors of each document in one row."""
+    doc = np.concatenate([_unpacked(x) for x in f["docs"]])
+    h = np.frombuffer(b"".join(f["hashes"]), np.uint32)
+    order = np.argsort(doc, kind="stable")
+    doc, h = doc[order], h[order]
+    return pd.DataFrame([(int(doc[a]), h[a:b].tobytes()) for a, b in _split_rows(doc)], columns=["doc_id", "hashes"])
 
 
 def _fragments(n_shards: int):  # noqa: ANN202
@@ -190,7 +203,7 @@ def _fragments(n_shards: int):  # noqa: ANN202
         for f in frames:
             f = f.sort_values("doc_id", kind="stable", ignore_index=True)
             ids, keys, texts = f["doc_id"].to_numpy(np.int64), f["text_key"].to_numpy(np.int64), _encode(f["text"])
-            wanted = [np.frombuffer(b"".join(x), np.uint32) for x in f["hashes"]]
+            wanted = [np.frombuffer(x, np.uint32) for x in f["hashes"]]
             least: dict[bytes, int] = {}
             own: list[tuple[int, bytes, int, int, int]] = []
             lost: list[tuple[int, int, int, int]] = []
@@ -311,8 +324,8 @@ def repeated_ranges(own: DataFrame) -> DataFrame:
     n_bytes = own.agg(F.sum(F.octet_length("text").cast("bigint"))).head()[0] or 0
     n_shards = max(8, n_bytes // SHARD_BYTES)
     entries = own.select("doc_id", "text").mapInPandas(_anchor_entries(n_shards), "shard bigint, doc_id bigint, hashes binary, docs binary")
-    shared = entries.groupBy("shard").applyInPandas(_shared_anchors, "doc_id bigint, hashes binary")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    shared = entries.groupBy("shard").applyInPandas(_shared_anchors(n_shards), "bucket bigint, docs binary, hashes binary")
+    wanted = shared.groupBy("bucket").applyInPandas(_per_document, "doc_id bigint, hashes binary")
     columns = "shard bigint, hashes binary, text binary, sizes binary, docs binary, texts binary, places binary"
     fragments = own.join(wanted, "doc_id").mapInPandas(_fragments(n_shards), columns)
     return fragments.groupBy("shard").applyInPandas(_sort_shard, "doc_id bigint, text_key bigint, begin int, stop int")
