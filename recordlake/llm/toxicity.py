@@ -39,7 +39,7 @@ BASE_SCORE = 0.02
 #: Fitting. TRAIN_ROWS bounds the labelled rows that the lexicon is learned from (lowest hash of doc_id first).
 TRAIN_ROWS = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
-MIN_TEXTS, MIN_PRECISION, MAX_LEXICON = 6, 0.9, 20_000
+MIN_TEXTS, MIN_SHARE, MIN_PRECISION, MAX_LEXICON = 8, 0.02, 0.97, 20_000
 SPLIT, HELD_OUT = 3, 1
 
 _CLAUSE = re.compile(r"[.!?;:,()\n\"«»]")
@@ -158,7 +158,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
 
     counts = rows.mapInPandas(count, "mark string, clean bigint, toxic bigint").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     precision = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    good = counts.where((F.col("toxic") >= MIN_TEXTS) & (precision >= MIN_PRECISION))
+    # A mark must stand in a share of the toxic texts, or among so many marks some would stand in a few by chance.
+    least = max(MIN_TEXTS, MIN_SHARE * (own.agg(F.sum("toxic")).head()[0] or 0))
+    good = counts.where((F.col("toxic") >= least) & (precision >= MIN_PRECISION))
     good = good.orderBy(F.desc("toxic"), "mark").limit(MAX_LEXICON)
     lexicon = Lexicon()
     for r in good.collect():

@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import json
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from recordlake.llm import chat_tools, url_filter
+
+SCHEMA = "page_id bigint, url string, rule string"
+
+
+def brute(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    fit = [(len(h + p), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=None)
+    return host, path, best[1] if best else None, best[2] if best else "allow"
+
+
+URLS = [None, "", "no scheme", "http://", "HTTP://Example.NET/en/x?a=/en/", "https://a.example.net", "https://a.example.net/", "https://myexample.net/en/", "http://example.com/de/", "http://example.com/deep", "http://x.example.com/de/#y", "http://a.org/fr/1", "http://org/fr/", "://net/", "a://b://c/d", "http://net?x", "http://É.net/ü", "http://a..net/", "http://.net/\n/x"]
+
+
+def test_contract_rules(spark):
+    pages = [(i, u, "x") for i, u in enumerate(URLS)] + [(None, URLS[4], "x"), (4, URLS[4], "x"), (4, URLS[4], "x")]
+    got = Counter(tuple(r) for r in url_filter.op1_url_filter(spark.createDataFrame(pages, SCHEMA)).collect())
+    assert got == Counter((i, *brute(u, url_filter.RULES)) for i, u, _ in pages)
+    assert url_filter.op1_url_filter(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 4])
+def test_long_lists_by_cascade_and_by_join(spark, max_bytes):
+    r = random.Random(2)
+    hosts = [".".join(r.choice("abcd") for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    rules = list({(h, p): (h, p, r.choice(["block", "allow"])) for h in hosts[:60] for p in (r.choice(["/", "/x/", "/x/y"]),)}.values())
+    pages = [(i, f"http://{h}{r.choice(['', '/', '/x/', '/x/y', '/x/yz?q'])}", "") for i, h in enumerate(hosts)]
+    got = {x.page_id: tuple(x)[1:] for x in url_filter.judge_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(rules, "host string, path string, action string"), max_bytes=max_bytes).collect()}
+    assert got == {i: brute(u, rules) for i, u, _ in pages}
+
+
+def test_no_rules(spark):
+    rules = spark.createDataFrame([], "host string, path string, action string")
+    assert {r.verdict for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://a/", ""), (2, None, "")], SCHEMA), rules).collect()} == {"allow"}
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    keys = spark.range(5000).selectExpr("cast(id as string) as key")
+    listed = keys.where("key % 37 = 0")
+    levels = url_filter.build_cascade(listed, keys)
+    hashed = url_filter._hashed(keys).toPandas()
+    got = url_filter.passes(levels, hashed["h1"].to_numpy().view(np.uint64), hashed["h2"].to_numpy().view(np.uint64))
+    assert (got == (hashed["key"].astype(int) % 37 == 0)).all()
+
+
+CALLS = "conv bigint, turn bigint, id string, name string, arguments map<string,string>, depends_on array<string>"
+RESULTS = "conv bigint, turn bigint, id string, content string"
+
+
+def test_linking_order_schema_and_json(spark):
+    calls = spark.createDataFrame(
+        [
+            (1, 0, "a", "search", {"q": "x", "b": "2"}, None),
+            (1, 1, "b", "search", {}, ["a"]),
+            (1, 2, "c", "search", {"q": "y"}, ["b", "a"]),
+            (1, 3, "a", "search", {"q": "again"}, None),
+            (1, 4, "d", "nope", None, ["zz"]),
+            (1, 5, "e", "search", {"q": "z"}, ["f"]),
+            (1, 6, "f", "search", {"q": "z"}, ["e"]),
+            (2, 0, "a", "search", {"q": "other"}, []),
+            (2, 1, None, "search", {"q": "no id"}, None),
+        ],
+        CALLS,
+    )
+    results = spark.createDataFrame([(1, 1, "a", 'ok "é"'), (1, 9, "a", "late"), (1, 2, "b", None), (3, 0, "a", "elsewhere"), (1, 1, None, "x")], RESULTS)
+    schemas = spark.createDataFrame([("search", ["q"], ["q", "b"])], "tool string, required array<string>, allowed array<string>")
+    got = {(r.conv, r.id): r for r in chat_tools.link_tool_calls(calls, results, schemas).collect()}
+    assert len(got) == 7
+    assert [got[1, x].level for x in "abcd"] == [0, 1, 2, 0] and got[1, "e"].level is None
+    assert got[1, "a"].problems == "" and got[1, "a"].n_results == 2 and got[1, "a"].result_turn == 1
+    assert got[1, "b"].problems == "missing: q"
+    assert got[1, "d"].problems == "unknown tool; unresolved: zz; no result"
+    assert got[1, "e"].problems == "cycle; no result"
+    assert got[1, "a"].json == json.dumps({"arguments": {"b": "2", "q": "x"}, "id": "a", "name": "search", "result": 'ok "é"'}, ensure_ascii=False, separators=(",", ":"))
+
+
+def test_turns_nulls_and_json_texts(spark):
+    rows = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", "there", "x"), (1, 2, "user", None, "x"), (None, 0, "user", "lost", "x"), (2, None, "user", "lost", "x"), (3, 0, None, "t", "x")]
+    rows += [(4, 0, "user", '{"id":"k","name":"reply","arguments":{"prompt":"p","style":"s"}}', "x"), (4, 5, "assistant", '{"tool_call_id":"k","content":"done"}', "x"), (1, 0, "user", "hi", "x")]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, id string")
+    got = {(r.conv_id, r.call_id): (r.problems, r.json) for r in chat_tools.op9_tool_calls(d).collect()}
+    assert got == {
+        (1, "1:0"): ("", '{"arguments":{"prompt":"hi"},"id":"1:0","name":"reply","result":"there"}'),
+        (1, "1:2"): ("missing: prompt; no result", '{"arguments":{},"id":"1:2","name":"reply"}'),
+        (4, "k"): ("", '{"arguments":{"prompt":"p","style":"s"},"id":"k","name":"reply","result":"done"}'),
+    }
+    assert chat_tools.op9_tool_calls(d.limit(0)).count() == 0
