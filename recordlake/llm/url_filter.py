@@ -142,21 +142,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys under which a rule could list the url, the longest first."""
+    """Keys under which a rule could list the url, the longest first, of equal length the greatest text first."""
     labels = F.split(host, "\\.")
     suffixes = F.when(host != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
-    fits = [F.when(F.length(path) >= n, F.struct((-F.length(path) * 0 - n).alias("n"), F.substring(path, 1, n).alias("p"))) for n in sorted(lengths, reverse=True)]
-    prefixes = F.array_compact(F.array(*fits)) if fits else F.array()
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((-(F.length(s)) + p["n"]).alias("o"), F.concat(s, p["p"]).alias("k")))))
-    return F.transform(F.array_sort(pairs), lambda x: x["k"])
+    fits = [F.when(F.length(path) >= n, F.struct(F.lit(n).alias("n"), F.substring(path, 1, n).alias("p"))) for n in sorted(lengths, reverse=True)]
+    prefixes = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<struct<n:int,p:string>>")
+    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((F.length(s) + p["n"]).alias("o"), F.concat(s, p["p"]).alias("k")))))
+    return F.transform(F.sort_array(pairs, asc=False), lambda x: x["k"])
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_bytes: int = 64 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of `pages` (page_id, url).
 
     `rules` has host, path and action (block or allow); it may be long. A rule fits its host and all
-    subdomains if the path starts with the rule's; the longest (host and path together) wins, block before
-    allow where both list one key. Urls without a rule get `default`: the cascade proves them unlisted.
+    subdomains if the path starts with the rule's; the longest (host and path together) wins, of equally long
+    ones the greatest text, block before allow where both list one key. Urls without a rule get `default`: the cascade proves them unlisted.
     Null urls or urls without `://` have empty host and path, no rule and the default. Repeated rows stay;
     empty tables give empty results. Only the cascade is broadcast, up to `max_bytes` a level.
     """
