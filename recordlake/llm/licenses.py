@@ -49,6 +49,7 @@ class Template:
     words: list[bytes]  # distinct, rarest first
     label: str
     need: int
+    span: int = 0  # words of text, of whatever lines and sentences, that may hold the template
 
     @property
     def prefix(self) -> list[bytes]:
@@ -60,7 +61,8 @@ def prepare(templates: list[tuple[str, str]], frequency: dict[bytes, int], thres
     for text, label in templates:
         words = sorted(set(alnum_words(text)), key=lambda w: (frequency.get(w, 0), w))
         if words:
-            out.append(Template(words, label, max(1, math.ceil(threshold * len(words) - 1e-9))))
+            span = math.ceil(len(alnum_words(text)) / threshold - 1e-9)
+            out.append(Template(words, label, max(1, math.ceil(threshold * len(words) - 1e-9)), span))
     return out
 
 
@@ -86,6 +88,24 @@ def join_block(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], te
                 yield t, (len(t.words) - missed) / len(t.words)
 
 
+def join_spans(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], templates: list[Template]) -> Iterator[tuple[Template, float]]:
+    """Templates that some stretch of `span` words meets, wherever lines and sentences end, with their best containment."""
+    for t, _ in join_block(words, index, templates):
+        wanted, held = set(t.words), dict.fromkeys(t.words, 0)
+        at = [i for i, w in enumerate(words) if w in wanted]
+        first = distinct = best = 0
+        for i in at:
+            distinct += not held[words[i]]
+            held[words[i]] += 1
+            while at[first] <= i - t.span:
+                held[words[at[first]]] -= 1
+                distinct -= not held[words[at[first]]]
+                first += 1
+            best = max(best, distinct)
+        if best >= t.need:
+            yield t, best / len(t.words)
+
+
 def word_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     """Documents that hold each of the words, counted over the whole table; one row per word and task is shuffled."""
 
@@ -112,12 +132,13 @@ def places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[t
     return found
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: tuple[tuple[str, str], ...] = BASE, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: tuple[tuple[str, str], ...] = BASE, threshold: float = THRESHOLD, spanning: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (number, label, containment).
 
     Blocks are sentences: lines, cut behind `.`, `!`, `?` and `;` with white space. score is 1 with a base phrase, else the best
     containment, else 0. Null or empty texts have no words, labels '' and score 0. Repeated rows are each scanned.
-    Only the templates are broadcast, up to MAX_TEMPLATE_WORDS.
+    With `spanning`, stretches of words that go on over lines and sentences are blocks too, of no number; a stretch is as long
+    as the template, divided by the threshold. Only the templates are broadcast, up to MAX_TEMPLATE_WORDS.
     """
     listed = list(templates if templates is not None else TEMPLATES)
     vocabulary = {w for text, _ in listed for w in alnum_words(text)}
@@ -142,6 +163,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
                 if not index.keys().isdisjoint(words):
                     for number, block in enumerate(_BLOCK.split(text)):
                         blocks += [(number, t.label, share) for t, share in join_block(alnum_words(block), index, ready)]
+                    if spanning:
+                        blocks += [(None, t.label, share) for t, share in join_spans(words, index, ready)]
                 at = [a for a, _ in own]
                 base_labels = {label for _, label in own}
                 labels = base_labels | {label for _, label, _ in blocks}
@@ -156,3 +179,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
 
 def op5_license_scan(docs: DataFrame) -> DataFrame:
     return scan(docs).drop("blocks")
+
+
+def license_statements(docs: DataFrame) -> DataFrame:
+    """The registered query: op5_license_scan, and statements that are wrapped or made of several sentences."""
+    return scan(docs, spanning=True).drop("blocks")

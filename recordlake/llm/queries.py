@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": _over("documents", tokens.op2_token_counts),
     "op3_suffix_dedup": _over("documents", suffix_dedup.op3_suffix_dedup),
     "op4_simhash": _over("documents", simhash.op4_simhash),
-    "op5_license_scan": _over("documents", licenses.op5_license_scan),
+    "op5_license_scan": _over("documents", licenses.license_statements),
     "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_quality": _over("documents", quality.op7_quality),
     "op8_packing": _over("documents", packing.op8_packing),

@@ -1,0 +1,39 @@
+from __future__ import annotations
+
+import math
+import random
+
+from recordlake.llm import licenses, queries
+
+from . import brute
+
+
+def best_span(text, template, threshold=licenses.THRESHOLD):
+    w, t = brute.alnum(text), brute.alnum(template)
+    span, own = math.ceil(len(t) / threshold - 1e-9), set(t)
+    best = max((len(own & set(w[i : i + span])) for i in range(len(w))), default=0)
+    return best / len(own) if best >= math.ceil(threshold * len(own) - 1e-9) else 0.0
+
+
+def test_registered_query_meets_wrapped_statements(spark, tmp_path):
+    r = random.Random(3)
+    docs = [(i, t) for i, (t, _) in enumerate(licenses.TEMPLATES)]
+    docs.append((100, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"))
+    docs.append((101, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"))
+    docs.append((102, "Copyright. " + "Other words stand here between the two. " * 3 + "All rights reserved."))
+    for i in range(80):
+        w = " ".join(r.choice(licenses.TEMPLATES)[0] for _ in range(2)).split()
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = r.choice(["x", "license", "the", "and. then"])
+        docs.append((200 + i, "".join(x + r.choice([" ", " ", "\n", ". "]) for x in w)))
+    docs += [(900, None), (901, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries.QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    old = {x.doc_id: x for x in licenses.op5_license_scan(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    for i, (_, label) in enumerate(licenses.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+    assert got[100].labels == "mit" and got[101].labels == "bsd" and got[102].labels == ""
+    for d, text in docs:
+        shares = {label: best_span(text, t) for t, label in licenses.TEMPLATES if best_span(text or "", t)} if text else {}
+        assert set(got[d].labels.split(",")) == set(old[d].labels.split(",")) - ({""} if shares else set()) | set(shares)
+        assert got[d].score == max([old[d].score, *(best_span(text or "", t) for t, _ in licenses.TEMPLATES)])
