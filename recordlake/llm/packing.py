@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, slices
-from .tokens import VOCABULARY, words_of
+from .common import cut, documents
+from .tokens import VOCABULARY, text_slices, words_of
 
 SEQUENCE, END_ID = 2048, 1
 #: Pieces of one length that are ranked in one group, about.
@@ -72,20 +72,31 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each text's ids with the end id, cut every `size` ids."""
-
-    def tokenize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = words_of(vocabulary), np.array([end_id], "<u4").tobytes()
-        for f in slices(frames, 256):
-            rows = []
-            for doc_id, ids in zip(f["doc_id"], words.encode(f["text"].to_list()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc_id, at, min(size, n - at), zlib.crc32(ids[4 * at : 4 * (at + size)]), n) for at in range(0, n, size)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return documents(docs).mapInPandas(tokenize, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    """doc_id, start, length, ids_crc32, doc_tokens: each text's ids with the end id, cut every `size` ids.
+
+    Null or empty text: only the end id. Repeated rows are cut each for itself. Other columns are left out, whatever their names.
+    """
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(vocabulary)
+        for batch in text_slices(batches):
+            ids, first = words.encode(batch.column("text"))
+            n = np.diff(first) + 1
+            end = np.cumsum(n)
+            whole = np.full(int(end[-1]), end_id, "<u4")
+            whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n - 1)] = ids
+            count = -(-n // size)
+            doc = np.repeat(np.arange(len(n)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * size
+            length = np.minimum(size, n[doc] - start)
+            at = (end - n)[doc] + start
+            raw = memoryview(whole).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[doc]))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return documents(docs).mapInArrow(tokenize, ", ".join(f"{c} bigint" for c in names))
 
 
 def pack(cut_pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
