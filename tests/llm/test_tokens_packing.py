@@ -39,6 +39,29 @@ def test_splicing_widens_and_is_exact():
             assert tokens.encode_spliced(text, encode, chunk, overlap).tolist() == encode(text)[0].tolist()
 
 
+def test_long_texts_without_white_space_are_spliced_in_linear_work():
+    work = 0
+    whole = tokens.encode_with_offsets("word_bpe_49k.json")
+
+    def encode(text):
+        nonlocal work
+        work += len(text)
+        return whole(text)
+
+    for text in ("日本語、テキスト。" * 9_000, "ab1cd,ef" * 12_000, "x" * 70_000, "ab" * 20_000 + "'s it's " + "e\u0301," * 20_000, "<|endoftext|>" * 6_000):
+        work = 0
+        assert tokens.encode_spliced(text, encode).tolist() == whole(text)[0].tolist()
+        assert work < 4 * len(text) + 4 * tokens.CHUNK
+
+
+def test_units_of_mixed_words(spark):
+    marks = ["The.", "THE", "É,", "É", "İ.", "x×", "×x", "a.b", "..a", "a..", "A!?", "ǅ;", "ß:", "é́.", "don't.", "x", "<|ENDOFTEXT|>", "日本。", ""]
+    rows = [(i, " ".join([a, b, a])) for i, (a, b) in enumerate((a, b) for a in marks for b in marks)]
+    lib = library()
+    got = tokens.op2_token_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_packing_covers_every_id_once(spark):
     rows = [(i, t) for i, t in enumerate([*ODD, *texts(60), "the " * 9000])] + [(7, "twice"), (7, "twice")]
     lib = library()
@@ -53,6 +76,8 @@ def test_packing_covers_every_id_once(spark):
         assert r.offset == at.get(r.sequence_id, 0)
         at[r.sequence_id] = r.offset + r.length
     assert max(at.values()) <= 2048
+    clashing = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id bigint, text string, start int, length string")
+    assert [tuple(r)[:3] for r in packing.op8_packing(clashing).collect()] == [(1, 0, 3)]
     assert packing.op8_packing(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
