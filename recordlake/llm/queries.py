@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from . import chat_tools, decontamination, licenses, packing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 from .common import table
@@ -68,13 +69,54 @@ c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 f AS (SELECT *, n_words < {_Q.min_words} OR 100 * n_repeat_words > {_Q.max_repeat_pct} * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost * 100 <= total * {_Q.max_lost_pct} AS kept FROM f"""
 
-TOOL_SQL = """
-WITH calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
-results AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
-SELECT c.conv_id, c.call_id, c.turn, 'reply' AS name, 0 AS level, CASE WHEN r.turn IS NULL THEN 'no result' ELSE '' END AS problems, r.turn AS result_turn,
-  CAST(CASE WHEN r.turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results,
-  '{"arguments":{"prompt":' || to_json(c.text)::VARCHAR || '},"id":"' || c.call_id || '","name":"reply"' || CASE WHEN r.text IS NULL THEN '' ELSE ',"result":' || to_json(r.text)::VARCHAR END || '}' AS json
-FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1"""
+_NO_CALL = "CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS level, '' AS problems, CAST(NULL AS BIGINT) AS result_turn, CAST(0 AS BIGINT) AS n_results"
+TOOL_SQL = f"""
+WITH calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text FROM conversations WHERE role = 'user'),
+answers AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant')
+SELECT 'call' AS kind, c.conv_id, c.id AS call_id, c.turn, 'reply' AS name, CAST(0 AS BIGINT) AS level, CASE WHEN a.turn IS NULL THEN 'no result' ELSE '' END AS problems, a.turn AS result_turn,
+  CAST(CASE WHEN a.turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results,
+  '{{"arguments":{{"prompt":' || to_json(c.text)::VARCHAR || '}},"id":"' || c.id || '","name":"reply"' || CASE WHEN a.text IS NULL THEN '' ELSE ',"result":' || to_json(a.text)::VARCHAR END || '}}' AS json
+FROM calls c LEFT JOIN answers a USING (conv_id, id)
+UNION ALL
+SELECT CASE WHEN c.id IS NULL THEN 'message' ELSE 'result' END AS kind, a.conv_id, c.id AS call_id, a.turn, {_NO_CALL},
+  '{{"content":' || to_json(a.text)::VARCHAR || CASE WHEN c.id IS NULL THEN ',"role":"assistant"}}' ELSE ',"tool_call_id":"' || c.id || '"}}' END AS json
+FROM answers a LEFT JOIN calls c USING (conv_id, id)
+UNION ALL
+SELECT 'message' AS kind, conv_id, CAST(NULL AS VARCHAR) AS call_id, turn, {_NO_CALL}, '{{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"}}' AS json
+FROM conversations WHERE role NOT IN ('user', 'assistant')"""
+
+CHAIN_TOOL = ("ship", ["where", "amount"], {"where": "object", "amount": "integer", "flag": "string"})
+
+
+def tool_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as conversations: each order a JSON call that needs the order before; some lack an argument, give it a wrong type or have no result."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = orders.withColumns({"turn": F.row_number().over(own).cast("bigint"), "before": F.lag("o_orderkey").over(own)})
+    amount = F.floor("o_totalprice").cast("string")
+    status = F.col("o_orderstatus")
+    given = F.when(status == "F", "").when(status == "P", F.concat(F.lit('"amount":"'), amount, F.lit('",'))).otherwise(F.concat(F.lit('"amount":'), amount, F.lit(",")))
+    call = F.concat(
+        F.lit('{"name":"ship","arguments":{'),
+        given,
+        F.concat(F.lit('"where":{"zone":1.50,"customer":'), F.col("o_custkey"), F.lit('}},"id":"o'), F.col("o_orderkey")),
+        F.coalesce(F.concat(F.lit('","depends_on":["o'), F.col("before"), F.lit('"]}')), F.lit('"}')),
+    )
+    result = F.concat(F.lit('{"tool_call_id":"o'), F.col("o_orderkey"), F.lit('","content":"done"}'))
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    talk = orders.select(F.col("o_custkey").alias("conv_id"), "turn", F.inline(F.array(said("assistant", call), said("tool", F.when(F.col("o_orderpriority") != "1-URGENT", result)))))
+    return chat_tools.format_turns(talk.where("text is not null"), spark.createDataFrame([CHAIN_TOOL], chat_tools.SCHEMAS))
+
+
+CHAIN_SQL = f"""
+WITH l AS (SELECT o_custkey AS conv_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS turn, 'o' || o_orderkey AS id, o_orderpriority <> '1-URGENT' AS done, CAST(floor(o_totalprice) AS BIGINT) AS q, o_orderstatus AS f FROM orders)
+SELECT 'call' AS kind, conv_id, id AS call_id, turn, 'ship' AS name, turn - 1 AS level,
+  concat_ws('; ', CASE WHEN f = 'F' THEN 'missing: amount' WHEN f = 'P' THEN 'type: amount' END, CASE WHEN NOT done THEN 'no result' END) AS problems,
+  CASE WHEN done THEN turn END AS result_turn, CAST(done AS BIGINT) AS n_results,
+  '{{"arguments":{{' || CASE f WHEN 'F' THEN '' WHEN 'P' THEN '"amount":"' || q || '",' ELSE '"amount":' || q || ',' END || '"where":{{"customer":' || conv_id || ',"zone":1.5}}}},"id":"' || id || '","name":"ship"' || CASE WHEN done THEN ',"result":"done"' ELSE '' END || '}}' AS json
+FROM l
+UNION ALL
+SELECT 'result' AS kind, conv_id, id AS call_id, turn, {_NO_CALL}, '{{"content":"done","tool_call_id":"' || id || '"}}' AS json FROM l WHERE done"""
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _N = decontamination.WINDOW
@@ -90,10 +132,13 @@ items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
+QUERIES["tool_chains"] = tool_chains
+
 #: The other operators need a tokenizer, XXH64, byte windows, templates or fitted weights; tests hold them against brute-force versions.
 SQL: dict[str, str] = {
     "op1_url_filter": URL_SQL,
     "op7_quality": QUALITY_SQL,
     "op9_tool_calls": TOOL_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
+    "tool_chains": CHAIN_SQL,
 }

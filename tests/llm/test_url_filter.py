@@ -1,13 +1,12 @@
 from __future__ import annotations
 
-import json
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from recordlake.llm import chat_tools, url_filter
+from recordlake.llm import url_filter
 
 SCHEMA = "page_id bigint, url string, rule string"
 
@@ -56,47 +55,3 @@ def test_cascade_is_exact_over_its_universe(spark):
     hashed = url_filter._hashed(keys).toPandas()
     got = url_filter.passes(levels, hashed["h1"].to_numpy().view(np.uint64), hashed["h2"].to_numpy().view(np.uint64))
     assert (got == (hashed["key"].astype(int) % 37 == 0)).all()
-
-
-CALLS = "conv bigint, turn bigint, id string, name string, arguments map<string,string>, depends_on array<string>"
-RESULTS = "conv bigint, turn bigint, id string, content string"
-
-
-def test_linking_order_schema_and_json(spark):
-    calls = spark.createDataFrame(
-        [
-            (1, 0, "a", "search", {"q": "x", "b": "2"}, None),
-            (1, 1, "b", "search", {}, ["a"]),
-            (1, 2, "c", "search", {"q": "y"}, ["b", "a"]),
-            (1, 3, "a", "search", {"q": "again"}, None),
-            (1, 4, "d", "nope", None, ["zz"]),
-            (1, 5, "e", "search", {"q": "z"}, ["f"]),
-            (1, 6, "f", "search", {"q": "z"}, ["e"]),
-            (2, 0, "a", "search", {"q": "other"}, []),
-            (2, 1, None, "search", {"q": "no id"}, None),
-        ],
-        CALLS,
-    )
-    results = spark.createDataFrame([(1, 1, "a", 'ok "é"'), (1, 9, "a", "late"), (1, 2, "b", None), (3, 0, "a", "elsewhere"), (1, 1, None, "x")], RESULTS)
-    schemas = spark.createDataFrame([("search", ["q"], ["q", "b"])], "tool string, required array<string>, allowed array<string>")
-    got = {(r.conv, r.id): r for r in chat_tools.link_tool_calls(calls, results, schemas).collect()}
-    assert len(got) == 7
-    assert [got[1, x].level for x in "abcd"] == [0, 1, 2, 0] and got[1, "e"].level is None
-    assert got[1, "a"].problems == "" and got[1, "a"].n_results == 2 and got[1, "a"].result_turn == 1
-    assert got[1, "b"].problems == "missing: q"
-    assert got[1, "d"].problems == "unknown tool; unresolved: zz; no result"
-    assert got[1, "e"].problems == "cycle; no result"
-    assert got[1, "a"].json == json.dumps({"arguments": {"b": "2", "q": "x"}, "id": "a", "name": "search", "result": 'ok "é"'}, ensure_ascii=False, separators=(",", ":"))
-
-
-def test_turns_nulls_and_json_texts(spark):
-    rows = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", "there", "x"), (1, 2, "user", None, "x"), (None, 0, "user", "lost", "x"), (2, None, "user", "lost", "x"), (3, 0, None, "t", "x")]
-    rows += [(4, 0, "user", '{"id":"k","name":"reply","arguments":{"prompt":"p","style":"s"}}', "x"), (4, 5, "assistant", '{"tool_call_id":"k","content":"done"}', "x"), (1, 0, "user", "hi", "x")]
-    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, id string")
-    got = {(r.conv_id, r.call_id): (r.problems, r.json) for r in chat_tools.op9_tool_calls(d).collect()}
-    assert got == {
-        (1, "1:0"): ("", '{"arguments":{"prompt":"hi"},"id":"1:0","name":"reply","result":"there"}'),
-        (1, "1:2"): ("missing: prompt; no result", '{"arguments":{},"id":"1:2","name":"reply"}'),
-        (4, "k"): ("", '{"arguments":{"prompt":"p","style":"s"},"id":"k","name":"reply","result":"done"}'),
-    }
-    assert chat_tools.op9_tool_calls(d.limit(0)).count() == 0
