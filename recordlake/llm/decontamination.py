@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, carried, carried_schema, documents, nullable_ints, slices
+from .common import alnum_words, carried, carried_schema, cut, documents, nullable_ints, slices
 
 WINDOW = 10
 #: Bytes of benchmark text searched for at a time; more is searched in blocks.
@@ -202,54 +202,84 @@ def _shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f[part == k].reset_index(drop=True)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Phrases, bool]]:
+    """Phrases of one block of items after the other, and whether it is the last; each is collected when its turn comes."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text").cast("bigint"))).head()[0] or 0
     n = math.ceil(size / block_bytes) or 1
-    return [phrases([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window) for k in range(n)]
+    for k in range(n):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield phrases([(r["item_id"], r["text"]) for r in own], window), k == n - 1
+
+
+SPANS = "spans array<struct<first:bigint,end:bigint>>"
+
+
+def _search(f: pd.DataFrame, p: Phrases) -> tuple[list[list[bytes]], list[list[tuple[int, int]]], list[set[int]]]:
+    """Of each document of a shard: words, merged spans and items, with those that blocks before have found."""
+    words = [alnum_words(t) for t in f["text"]]
+    before = "spans" in f
+    spans = [[(x["first"], x["end"]) for x in s] for s in f["spans"]] if before else [[] for _ in words]
+    items = [set(x) for x in f["items"]] if before else [set() for _ in words]
+    numbers = [np.fromiter(map(p.vocabulary.get, w, repeat(0)), np.int64, len(w)) for w in words]
+    for d, at, n, own in search_shard(numbers, p):
+        spans[d].append((at, at + n))
+        items[d].update(own)
+    return words, [_merged(s) if s else s for s in spans], items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges) and clean_text, if asked for, else null.
-    Columns named in `carry` come along as carry_0, ...
+    Columns named in `carry` come along as carry_0, ...; others are left out, whatever their names.
 
-    Benchmark items are the stated query set: they are searched for in blocks of `block_bytes`, each broadcast,
-    in one pass over the documents. Items without id, text or words match nothing; items that share an id count once.
-    Null text has no words. Repeated documents are judged each alike. Nothing is shuffled.
+    Benchmark items are the stated query set: they are searched for in blocks of `block_bytes`, each broadcast and dropped
+    before the next, with a pass over the documents per block; spans are written between passes. Items
+    without id, text or words match nothing; items that share an id count once. Null text has no words. Repeated
+    documents are judged each alike. Nothing is shuffled.
     """
     sc = docs.sparkSession.sparkContext
-    own = documents(docs, carry)
-    also = carried(own)
-    blocks = [sc.broadcast(p) for p in _blocks(benchmark, window, block_bytes)]
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _shards(frames):
-            words = [alnum_words(t) for t in f["text"]]
-            spans: list[list[tuple[int, int]]] = [[] for _ in words]
-            items: list[set[int]] = [set() for _ in words]
-            for block in blocks:
-                p = block.value
-                numbers = [np.fromiter(map(p.vocabulary.get, w, repeat(0)), np.int64, len(w)) for w in words]
-                for d, at, n, own in search_shard(numbers, p):
-                    spans[d].append((at, at + n))
-                    items[d].update(own)
-            merged = [_merged(s) if s else s for s in spans]
-            out = pd.DataFrame(
-                {
-                    "doc_id": nullable_ints(f["doc_id"]),
-                    "n_words": [len(w) for w in words],
-                    "n_hit": [sum(b - a for a, b in s) for s in merged],
-                    "n_items": [len(s) for s in items],
-                    "items_sha256": [hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest() for s in items],
-                    "contaminated": [bool(s) for s in merged],
-                    "spans": [[{"first": a, "end": b} for a, b in s] for s in merged],
-                    "clean_text": [_without(t, s) if clean and s else t if clean else None for t, s in zip(f["text"], merged, strict=True)],
-                }
-            )
-            yield out.assign(**{c: f[c] for c in also})
-
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<first:bigint,end:bigint>>, clean_text string"
-    return own.mapInPandas(search, schema + carried_schema(own))
+    rows = documents(docs, carry)
+    also = carried(rows)
+    more = carried_schema(rows)
+    as_rows = lambda merged: [[{"first": a, "end": b} for a, b in s] for s in merged]
+
+    def collect_spans(shared):  # noqa: ANN001, ANN202
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in _shards(frames):
+                _, merged, items = _search(f, shared.value)
+                out = pd.DataFrame({"doc_id": nullable_ints(f["doc_id"]), "text": f["text"], "spans": as_rows(merged), "items": [sorted(s) for s in items]})
+                yield out.assign(**{c: f[c] for c in also})
+
+        return run
+
+    def report(shared):  # noqa: ANN001, ANN202
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in _shards(frames):
+                words, merged, items = _search(f, shared.value)
+                out = pd.DataFrame(
+                    {
+                        "doc_id": nullable_ints(f["doc_id"]),
+                        "n_words": [len(w) for w in words],
+                        "n_hit": [sum(b - a for a, b in s) for s in merged],
+                        "n_items": [len(s) for s in items],
+                        "items_sha256": [hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest() for s in items],
+                        "contaminated": [bool(s) for s in merged],
+                        "spans": as_rows(merged),
+                        "clean_text": [_without(t, s) if clean and s else t if clean else None for t, s in zip(f["text"], merged, strict=True)],
+                    }
+                )
+                yield out.assign(**{c: f[c] for c in also})
+
+        return run
+
+    for block, last in _blocks(benchmark, window, block_bytes):
+        shared = sc.broadcast(block)
+        if last:
+            columns = f"doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, {SPANS}, clean_text string"
+            return rows.mapInPandas(report(shared), columns + more)
+        rows = cut(rows.mapInPandas(collect_spans(shared), f"doc_id bigint, text string, {SPANS}, items array<bigint>{more}"))
+        shared.unpersist()
+    raise AssertionError("there is always a last block")
 
 
 def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
