@@ -1,26 +1,30 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block meets a template if it holds at least `threshold` of the template's distinct words. Template words are
-ordered by how many documents of the corpus hold them, rarest first. A block that meets a template holds a word of the
-template's prefix in that order; length and position bound the overlap still possible, and what is left is verified.
+A block meets a template if it holds at least `threshold` of the template's distinct words. Blocks are sentences, and
+stretches of words, whatever lines and sentences they run over, as long as the template divided by the threshold.
+Template words are ordered by how many documents of the corpus hold them, rarest first, and a block's words are put in that
+order too. A block that meets a template holds a word of the template's prefix in that order. Length: a block with
+too few listed words meets none. Position: what is matched so far and what follows the shared word on both sides bounds
+the overlap still possible. What is left is verified.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, documents, nullable_ints, slices
+from .common import alnum_words, cut, documents, nullable_ints, slices
 
 #: Fixed phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Statements by which works name their license, with their labels.
+#: Statements by which works name their license, and short licenses as a whole, with their labels.
 TEMPLATES = (
     ("Released under the MIT License.", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
@@ -36,11 +40,39 @@ TEMPLATES = (
     ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
     ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
-    ("Copyright. All rights reserved.", "all-rights-reserved"),
+    ("All rights reserved.", "all-rights-reserved"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "isc",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "gpl",
+    ),
 )
 THRESHOLD = 0.9
-#: Bound of what is broadcast: distinct words over all templates.
-MAX_TEMPLATE_WORDS = 200_000
+#: Bound of what is broadcast at a time: words of templates. A longer list is met in several passes over the documents.
+PASS_WORDS = 200_000
 _BLOCK = re.compile(r"\n|(?<=[.!?;])[ \t\x0b\f\r]+")
 
 
@@ -49,48 +81,71 @@ class Template:
     words: list[bytes]  # distinct, rarest first
     label: str
     need: int
-    span: int = 0  # words of text, of whatever lines and sentences, that may hold the template
+    span: int  # words of text, of whatever lines and sentences, that may hold the template
 
     @property
     def prefix(self) -> list[bytes]:
         return self.words[: len(self.words) - self.need + 1]
 
 
-def prepare(templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float) -> list[Template]:
-    out = []
+@dataclass
+class Templates:
+    """Templates in one order of their words: `order` ranks all words, `index` finds templates and places by a prefix word's rank."""
+
+    all: list[Template]
+    order: dict[bytes, int]
+    index: dict[int, list[tuple[int, int]]]
+    starts: set[bytes]
+
+
+def prepare(templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float) -> Templates:
+    words = sorted({w for text, _ in templates for w in alnum_words(text)}, key=lambda w: (frequency.get(w, 0), w))
+    order = {w: i for i, w in enumerate(words)}
+    made, index = [], {}
     for text, label in templates:
-        words = sorted(set(alnum_words(text)), key=lambda w: (frequency.get(w, 0), w))
-        if words:
-            span = math.ceil(len(alnum_words(text)) / threshold - 1e-9)
-            out.append(Template(words, label, max(1, math.ceil(threshold * len(words) - 1e-9)), span))
-    return out
+        every = alnum_words(text)
+        own = sorted(set(every), key=order.__getitem__)
+        if own:
+            t = Template(own, label, max(1, math.ceil(threshold * len(own) - 1e-9)), math.ceil(len(every) / threshold - 1e-9))
+            for place, w in enumerate(t.prefix):
+                index.setdefault(order[w], []).append((len(made), place))
+            made.append(t)
+    return Templates(made, order, index, {words[r] for r in index})
 
 
-def join_block(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], templates: list[Template]) -> Iterator[tuple[Template, float]]:
-    """Templates that the block meets, with their containment."""
+def join_block(words: Iterable[bytes], templates: Templates, tally: Counter | None = None) -> Iterator[tuple[Template, float]]:
+    """Templates that the block meets, with their containment. `tally` counts what each filter drops."""
     own = set(words)
-    tried: set[int] = set()
-    for word in own & index.keys():
-        for i, position in index[word]:
-            t = templates[i]
-            # Length: the block has too few words. Position: too few template words follow, even if none before was missed.
-            if i in tried or len(own) < t.need:
-                continue
-            if position > len(t.words) - t.need:
+    ranks = sorted(templates.order[w] for w in own & templates.order.keys())
+    shared: dict[int, int] = {}
+    for j, rank in enumerate(ranks):
+        for i, place in templates.index.get(rank, ()):
+            t, so_far = templates.all[i], shared.get(i, 0)
+            if so_far < 0:
                 continue
-            tried.add(i)
-            missed, allowed = 0, len(t.words) - t.need
-            for w in t.words:
-                missed += w not in own
-                if missed > allowed:
-                    break
+            if len(ranks) < t.need:
+                why = "length"
+            elif so_far + 1 + min(len(t.words) - place - 1, len(ranks) - j - 1) < t.need:
+                why = "position"
             else:
-                yield t, (len(t.words) - missed) / len(t.words)
+                shared[i] = so_far + 1
+                continue
+            shared[i] = -1
+            if tally is not None:
+                tally[why] += 1
+    for i, so_far in shared.items():
+        if so_far > 0:
+            t = templates.all[i]
+            held = sum(w in own for w in t.words)
+            if tally is not None:
+                tally["verified"] += 1
+            if held >= t.need:
+                yield t, held / len(t.words)
 
 
-def join_spans(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], templates: list[Template]) -> Iterator[tuple[Template, float]]:
+def join_spans(words: list[bytes], templates: Templates) -> Iterator[tuple[Template, float]]:
     """Templates that some stretch of `span` words meets, wherever lines and sentences end, with their best containment."""
-    for t, _ in join_block(words, index, templates):
+    for t, _ in join_block(words, templates):
         wanted, held = set(t.words), dict.fromkeys(t.words, 0)
         at = [i for i, w in enumerate(words) if w in wanted]
         first = distinct = best = 0
@@ -106,6 +161,20 @@ def join_spans(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], te
             yield t, best / len(t.words)
 
 
+def passes(templates: list[tuple[str, str]], bound: int) -> list[list[tuple[str, str]]]:
+    """The list in parts of at most `bound` words, but at least one template."""
+    out: list[list[tuple[str, str]]] = [[]]
+    held = 0
+    for t in templates:
+        n = len(alnum_words(t[0]))
+        if out[-1] and held + n > bound:
+            out.append([])
+            held = 0
+        out[-1].append(t)
+        held += n
+    return out
+
+
 def word_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     """Documents that hold each of the words, counted over the whole table; one row per word and task is shuffled."""
 
@@ -132,55 +201,72 @@ def places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[t
     return found
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: tuple[tuple[str, str], ...] = BASE, threshold: float = THRESHOLD, spanning: bool = False) -> DataFrame:
+BLOCKS = "blocks array<struct<number:bigint,label:string,containment:double>>"
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: tuple[tuple[str, str], ...] = BASE, threshold: float = THRESHOLD, pass_words: int = PASS_WORDS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (number, label, containment).
 
-    Blocks are sentences: lines, cut behind `.`, `!`, `?` and `;` with white space. score is 1 with a base phrase, else the best
-    containment, else 0. Null or empty texts have no words, labels '' and score 0. Repeated rows are each scanned.
-    With `spanning`, stretches of words that go on over lines and sentences are blocks too, of no number; a stretch is as long
-    as the template, divided by the threshold. Only the templates are broadcast, up to MAX_TEMPLATE_WORDS.
+    Blocks are sentences, numbered from 0: lines, cut behind `.`, `!`, `?` and `;` with white space; and stretches of words, without a
+    number. score is 1 with a base phrase, else the best containment, else 0. Null or empty texts have no words, labels ''
+    and score 0. Repeated rows are each scanned; other columns are left out, whatever their names. Templates
+    are broadcast in parts of `pass_words` words, one at a time; what they meet is written between the passes.
     """
-    listed = list(templates if templates is not None else TEMPLATES)
-    vocabulary = {w for text, _ in listed for w in alnum_words(text)}
-    if len(vocabulary) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {len(vocabulary)} words; {MAX_TEMPLATE_WORDS} are broadcast at most")
-    ready = prepare(listed, word_frequency(docs, vocabulary), threshold)
-    index: dict[bytes, list[tuple[int, int]]] = {}
-    for i, t in enumerate(ready):
-        for position, w in enumerate(t.prefix):
-            index.setdefault(w, []).append((i, position))
     phrases = [(alnum_words(p), label) for p, label in base]
-    shared = docs.sparkSession.sparkContext.broadcast((ready, index, phrases))
+    parts = passes(list(templates if templates is not None else TEMPLATES), pass_words)
+    rows = documents(docs)
+    for i, part in enumerate(parts):
+        ready = prepare(part, word_frequency(docs, {w for text, _ in part for w in alnum_words(text)}), threshold)
+        shared = docs.sparkSession.sparkContext.broadcast(ready)
+        if i < len(parts) - 1:
+            rows = cut(rows.mapInPandas(_meet(shared), f"doc_id bigint, text string, {BLOCKS}"))
+            shared.unpersist()
+    columns = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
+    return rows.mapInPandas(_report(shared, phrases), columns + BLOCKS)
+
+
+def _found(text: str, words: list[bytes], templates: Templates) -> list[dict]:
+    if templates.starts.isdisjoint(words):
+        return []
+    met = [(number, t.label, share) for number, block in enumerate(_BLOCK.split(text)) for t, share in join_block(alnum_words(block), templates)]
+    met += [(None, t.label, share) for t, share in join_spans(words, templates)]
+    return [{"number": n, "label": label, "containment": share} for n, label, share in met]
+
+
+def _before(f: pd.DataFrame) -> list[list[dict]]:
+    """Blocks that passes before have found."""
+    return [list(b) for b in f["blocks"]] if "blocks" in f else [[] for _ in range(len(f))]
+
+
+def _meet(shared):  # noqa: ANN001, ANN202
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in slices(frames, 1024):
+            blocks = [b + _found(t, alnum_words(t), shared.value) for t, b in zip(f["text"], _before(f), strict=True)]
+            yield pd.DataFrame({"doc_id": nullable_ints(f["doc_id"]), "text": f["text"], "blocks": blocks})
+
+    return run
+
+
+def _report(shared, phrases: list[tuple[list[bytes], str]]):  # noqa: ANN001, ANN202
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready, index, phrases = shared.value
         for f in slices(frames, 1024):
             rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
+            for doc_id, text, before in zip(f["doc_id"], f["text"], _before(f), strict=True):
                 words = alnum_words(text)
                 own = places(words, phrases)
-                blocks = []
-                if not index.keys().isdisjoint(words):
-                    for number, block in enumerate(_BLOCK.split(text)):
-                        blocks += [(number, t.label, share) for t, share in join_block(alnum_words(block), index, ready)]
-                    if spanning:
-                        blocks += [(None, t.label, share) for t, share in join_spans(words, index, ready)]
+                blocks = before + _found(text, words, shared.value)
                 at = [a for a, _ in own]
                 base_labels = {label for _, label in own}
-                labels = base_labels | {label for _, label, _ in blocks}
-                score = 1.0 if own else max((s for _, _, s in blocks), default=0.0)
-                rows.append((doc_id, len(words), len(own), min(at, default=None), max(at, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, [{"number": n, "label": x, "containment": s} for n, x, s in blocks]))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
+                labels = base_labels | {b["label"] for b in blocks}
+                score = 1.0 if own else max((b["containment"] for b in blocks), default=0.0)
+                rows.append((doc_id, len(words), len(own), min(at, default=None), max(at, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, blocks))
+            out = pd.DataFrame(rows, columns=columns)
             yield out.assign(**{c: nullable_ints(out[c]) for c in ("doc_id", "first_word", "last_word")})
 
-    schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, blocks array<struct<number:bigint,label:string,containment:double>>"
-    return documents(docs).mapInPandas(run, schema)
+    return run
 
 
 def op5_license_scan(docs: DataFrame) -> DataFrame:
     return scan(docs).drop("blocks")
-
-
-def license_statements(docs: DataFrame) -> DataFrame:
-    """The registered query: op5_license_scan, and statements that are wrapped or made of several sentences."""
-    return scan(docs, spanning=True).drop("blocks")
