@@ -138,7 +138,9 @@ def ring_slice(ids: DataFrame, cursor: int, budget: int, total: int) -> DataFram
 def scan_until_known(rows: DataFrame, page: int, streak: int) -> DataFrame:
     """Pages of a newest-first scan (nth from 0, is_new), up to the `streak`-th page in a row without anything new."""
     pages = rows.groupBy(F.floor(F.col("nth") / page).alias("page")).agg(F.count_if("is_new").alias("fresh"))
-    order = Window.orderBy("page")
-    old = pages.withColumn("run", F.col("page") - F.coalesce(F.last(F.when(F.col("fresh") > 0, F.col("page")), True).over(order), F.lit(-1)))
-    stop = old.where(F.col("run") >= streak).agg(F.min("page").alias("stop"))
-    return old.crossJoin(F.broadcast(stop)).where("stop is null or page <= stop").select("page", "fresh")
+    # The scan stops `streak` pages behind the first page with something new that no other such page follows in time;
+    # the page before the first counts as one. Pages are only matched with their near neighbours, so none are put in one order.
+    seen = pages.where("fresh > 0").select("page").unionByName(rows.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("page")))
+    followed = seen.select(F.explode(F.sequence(F.col("page") - streak, F.col("page") - 1)).alias("page"))
+    stop = seen.join(followed, "page", "left_anti").agg((F.min("page") + streak).alias("stop"))
+    return pages.crossJoin(F.broadcast(stop)).where("page <= stop").select("page", "fresh")  # one row

@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranking(rows: DataFrame, listing: str, order: list[Column]) -> DataFrame:
-    """rank (from 1) of each row in its listing."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(listing).orderBy(*order)))
+def ranking(rows: DataFrame, listing: str, value: str, tie: str) -> DataFrame:
+    """rank (from 1) of each row in its listing: the greatest value first, then the least `tie`.
+
+    Listings are few and long, so only their histograms of values are summed up in order; rows are numbered among those of
+    one value.
+    """
+    counts = rows.groupBy(listing, value).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(listing).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(listing).alias("__l"), F.col(value).alias("__v"), F.coalesce(before, F.lit(0)).alias("before"))
+    both = rows.join(counts, F.col(listing).eqNullSafe(F.col("__l")) & F.col(value).eqNullSafe(F.col("__v")))
+    nth = F.row_number().over(Window.partitionBy(listing, value).orderBy(tie))
+    return both.withColumn("rank", (F.col("before") + nth).cast("int")).drop("__l", "__v", "before")
 
 
 def ranking_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,8 +32,9 @@ def keyset_page(rows: DataFrame, key: str, cursor: object, size: int) -> DataFra
 
 
 def ordered_distinct(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """First place of each key."""
-    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("o")).select(key, "o.*")
+    """First place of each key; rows without a key all stay."""
+    named = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("o")).select(key, "o.*")
+    return named.unionByName(rows.where(F.col(key).isNull()).select(key, *order))
 
 
 def journal_latest(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:

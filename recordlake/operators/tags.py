@@ -1,6 +1,7 @@
 """Tag analytics over entities with labels: frequency, pairs, owners, trends, former tags.
 
-Input rows: entity_id, owner_id, pos, label (null for an entity without labels). An entity counts once per tag.
+Input rows: entity_id, owner_id, pos, label (null for an entity without labels). An entity counts once per tag, also if
+several owners list it: its first owner's listing counts.
 """
 
 from __future__ import annotations
@@ -8,13 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordlake.functions.text import norm_label
+from recordlake.functions.text import collapse, normalize_dictionary
+from recordlake.operators.rules import small
 
 
-def entity_tags(labels: DataFrame) -> DataFrame:
-    """Distinct entity_id, owner_id, tag with the first label that gave it."""
-    tag = labels.where("label is not null").withColumn("tag", norm_label(F.col("label"))).where("tag <> ''")
-    return tag.groupBy("entity_id", "owner_id", "tag").agg(F.min_by("label", F.struct("pos", "label")).alias("label"))
+def dictionary(labels: DataFrame) -> DataFrame:
+    """label, tag of each distinct label: compatibility form, case folded, white space collapsed. Each is folded once."""
+    own = normalize_dictionary(labels.where("label is not null").select("label").distinct(), "label", "tag")
+    return own.select("label", collapse(F.col("tag")).alias("tag"))
+
+
+def entity_tags(labels: DataFrame, known: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct entity_id, owner_id, tag with the first label that gave it, of each entity's first owner.
+
+    `known` names the tag of every label, as `dictionary` does; it is made from the labels themselves if it isn't given. `keep`:
+    columns that an entity determines. Window and grouping share the shuffle by entity.
+    """
+    known = dictionary(labels) if known is None else known
+    first = labels.withColumn("first_owner", F.min("owner_id").over(Window.partitionBy("entity_id"))).where(F.col("owner_id").eqNullSafe(F.col("first_owner")))
+    tagged = first.where("label is not null").join(small(known), "label").where("tag <> ''")
+    return tagged.groupBy("entity_id", "owner_id", *keep, "tag").agg(F.min_by("label", F.struct("pos", "label")).alias("label"))
 
 
 def frequency(tags: DataFrame) -> DataFrame:

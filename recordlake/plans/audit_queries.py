@@ -10,13 +10,13 @@ from recordlake.operators import audit
 from . import views
 from .registry import Tables, query
 
-SETS = "d AS (SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 0), i AS (SELECT DISTINCT doc_id AS id FROM labels), s AS (SELECT doc_id AS id FROM documents WHERE n_chars > 2000)"
+SETS = "d AS (SELECT doc_id AS id FROM documents WHERE lang <> 'es'), i AS (SELECT DISTINCT doc_id AS id FROM labels), s AS (SELECT doc_id AS id FROM documents WHERE n_chars > 2000)"
 NOW = "DATE '2024-01-31'"
 
 
 def _sets(t: Tables) -> dict[str, DataFrame]:
-    docs = t.documents.select(F.col("doc_id").alias("id"), "n_chars")
-    return {"discovered": docs.where("id % 7 <> 0").select("id"), "indexed": t.labels.select(F.col("doc_id").alias("id")).distinct(), "stored": docs.where("n_chars > 2000").select("id")}
+    docs = t.documents.select(F.col("doc_id").alias("id"), "n_chars", "lang")
+    return {"discovered": docs.where("lang <> 'es'").select("id"), "indexed": t.labels.select(F.col("doc_id").alias("id")).distinct(), "stored": docs.where("n_chars > 2000").select("id")}
 
 
 @query(f"WITH {SETS} SELECT mask, count(*) AS n FROM (SELECT id, CAST(bit_or(b) AS INTEGER) AS mask FROM (SELECT id, 1 AS b FROM d UNION ALL SELECT id, 2 FROM i UNION ALL SELECT id, 4 FROM s) GROUP BY 1) GROUP BY 1")

@@ -50,9 +50,9 @@ def text_search_phrase(t: Tables) -> DataFrame:
     return t.documents.where(browse.search(t.documents, "text", phrase="apache license")).select("doc_id")
 
 
-@query("SELECT token, count(*) AS n FROM (SELECT DISTINCT doc_id, replace(unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_''’-]{2,}')), '’', '''') AS token FROM documents WHERE lang = 'en') GROUP BY 1 ORDER BY n DESC, token LIMIT 200")
+@query("SELECT token, count(*) AS n FROM (SELECT DISTINCT doc_id, replace(unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_''’-]{2,}')), '’', '''') AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 200")
 def tokens_top(t: Tables) -> DataFrame:
-    own = t.documents.where("lang = 'en'").select(F.explode(tx.tokens(F.col("text"))).alias("token"))
+    own = t.documents.select(F.explode(tx.tokens(F.col("text"))).alias("token"))
     return own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(200)
 
 
@@ -125,15 +125,14 @@ def journal_replay_latest(t: Tables) -> DataFrame:
 
 @query("SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents")
 def ranking_positions(t: Tables) -> DataFrame:
-    return scans.ranking(t.documents.select("source", "doc_id", "n_chars"), "source", [F.desc("n_chars"), F.col("doc_id")]).drop("n_chars")
+    return scans.ranking(t.documents.select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id").drop("n_chars")
 
 
-@query("WITH a AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents), b AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents WHERE doc_id % 13 <> 5) SELECT a.source, a.doc_id, a.rank AS old, b.rank AS new FROM a LEFT JOIN b ON a.source = b.source AND a.doc_id = b.doc_id WHERE b.rank IS NULL OR a.rank <> b.rank")
+@query("WITH a AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents), b AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents WHERE lang <> 'es') SELECT a.source, a.doc_id, a.rank AS old, b.rank AS new FROM a LEFT JOIN b ON a.source = b.source AND a.doc_id = b.doc_id WHERE b.rank IS NULL OR a.rank <> b.rank")
 def ranking_changed(t: Tables) -> DataFrame:
-    own = t.documents.select("source", "doc_id", "n_chars")
-    order = [F.desc("n_chars"), F.col("doc_id")]
-    before = scans.ranking(own, "source", order).drop("n_chars")
-    return scans.ranking_changes(before, scans.ranking(own.where("doc_id % 13 <> 5"), "source", order).drop("n_chars"), ["source", "doc_id"])
+    own = t.documents.select("source", "doc_id", "n_chars", "lang")
+    rank = lambda rows: scans.ranking(rows, "source", "n_chars", "doc_id").select("source", "doc_id", "rank")
+    return scans.ranking_changes(rank(own), rank(own.where("lang <> 'es'")), ["source", "doc_id"])
 
 
 @query(r"SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, count(*) FILTER (role = 'system') AS systems, count(*) FILTER (regexp_matches(text, '^\s*(\(\(|\[ooc|ooc:)')) AS ooc, arg_min(role, turn) AS first_role FROM conversations GROUP BY 1")
@@ -167,10 +166,10 @@ def delete_plan(t: Tables) -> DataFrame:
     return scans.delete_plan(t.documents, "doc_id", t.labels.select("doc_id"), F.col("n_chars") < 400)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS shard FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0")
+@query("SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN 'new' ELSE 'old' END AS shard FROM documents WHERE lang <> 'en'")
 def locator_upsert(t: Tables) -> DataFrame:
-    ids = t.documents.select("doc_id")
-    return scans.upsert(ids.where("doc_id % 3 = 0").withColumn("shard", F.lit("old")), ids.where("doc_id % 4 = 0").withColumn("shard", F.lit("new")), "doc_id")
+    shard = lambda langs, name: t.documents.where(F.col("lang").isin(*langs)).select("doc_id", F.lit(name).alias("shard"))
+    return scans.upsert(shard(("fr", "de"), "old"), shard(("de", "es"), "new"), "doc_id")
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS surfaces FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.functions.text import fnv1a32, norm_label
+from recordlake.functions.text import fnv1a32, normalize_dictionary
 from recordlake.operators import names, tags
 
 from . import views
@@ -15,13 +15,12 @@ W = f"WITH {views.LABELS} "
 TAG_A, TAG_B = "brand#7", "brand #12"
 
 
-def _tags(t: Tables) -> DataFrame:
-    return tags.entity_tags(views.labels(t))
+def _tags(t: Tables, *keep: str) -> DataFrame:
+    return tags.entity_tags(views.labels(t), views.label_dictionary(t), keep)
 
 
 def _dated(t: Tables) -> DataFrame:
-    days = t.orders.select(F.col("o_orderkey").alias("entity_id"), F.to_date("o_orderdate").alias("day"))
-    return _tags(t).join(days, "entity_id")
+    return _tags(t, "day")
 
 
 @query(W + "SELECT tag, count(*) AS uses, count(DISTINCT owner_id) AS owners FROM tags GROUP BY tag")
@@ -29,6 +28,26 @@ def tag_frequency(t: Tables) -> DataFrame:
     return tags.frequency(_tags(t))
 
 
+SHARED = "WITH l AS (SELECT l_partkey AS entity_id, l_suppkey AS owner_id, lower(trim(regexp_replace(l_returnflag || l_linestatus, 'F$', ' Shipped'))) AS tag FROM lineitem), tags AS (SELECT DISTINCT entity_id, owner_id, tag FROM l QUALIFY owner_id = min(owner_id) OVER (PARTITION BY entity_id)) "
+
+
+def _shared(t: Tables) -> DataFrame:
+    """Parts as entities that are listed under every supplier who ships them: only the first listing counts."""
+    label = F.regexp_replace(F.concat("l_returnflag", "l_linestatus"), "F$", "  Shipped")
+    own = t.lineitem.select(F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("owner_id"), F.col("l_linenumber").alias("pos"), label.alias("label"))
+    return tags.entity_tags(own)
+
+
+@query(SHARED + "SELECT tag, count(*) AS uses, count(DISTINCT owner_id) AS owners FROM tags GROUP BY tag")
+def tag_frequency_shared(t: Tables) -> DataFrame:
+    return tags.frequency(_shared(t))
+
+
+@query(SHARED + "SELECT owner_id, count(DISTINCT tag) AS tags, count(DISTINCT entity_id) AS entities FROM tags GROUP BY 1")
+def tag_owner_count(t: Tables) -> DataFrame:
+    return _shared(t).groupBy("owner_id").agg(F.count_distinct("tag").alias("tags"), F.count_distinct("entity_id").alias("entities"))
+
+
 @query(W + "SELECT trim(label) AS label, count(*) AS uses FROM labels0 WHERE label IS NOT NULL GROUP BY 1 ORDER BY uses DESC, lower(trim(label)), label LIMIT 1000")
 def tag_frequency_raw(t: Tables) -> DataFrame:
     raw = views.labels(t).where("label is not null").groupBy(F.trim("label").alias("label")).agg(F.count(F.lit(1)).alias("uses"))
@@ -107,11 +126,11 @@ def name_one_use(t: Tables) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("distinct_names"), F.count_if(F.col("uses") == 1).alias("one_use"), F.sum("uses").alias("named"))
 
 
-TITLES = r"""WITH titles AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 240), '[\t\n\x0b\f\r ]+', ' ', 'g')) AS title FROM documents) """
+TITLES = r"""WITH titles AS (SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0b\f\r ]+', ' ', 'g')) AS title FROM documents) """
 
 
 def _titles(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.trim(F.regexp_replace(F.substring("text", 1, 240), r"[\t\n\x0B\f\r ]+", " ")).alias("title"))
+    return t.documents.select("doc_id", F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r ]+", " ")).alias("title"))
 
 
 @query(TITLES + "SELECT title, uses FROM (SELECT title, count(*) AS uses FROM titles WHERE length(title) >= 4 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100) WHERE uses >= 2")
@@ -142,6 +161,6 @@ def hash_bucket_counts(t: Tables) -> DataFrame:
     return names.bucket_counts(t.part, fnv1a32(F.col("p_name")), 16)
 
 
-@query("SELECT p_partkey, lower(trim(p_name)) AS name FROM part WHERE p_size > 10")
+@query("SELECT p_partkey, lower(trim(p_name)) AS name FROM part")
 def label_normalized(t: Tables) -> DataFrame:
-    return t.part.where("p_size > 10").select("p_partkey", norm_label(F.col("p_name")).alias("name"))
+    return normalize_dictionary(t.part.select("p_partkey", "p_name"), "p_name", "name").select("p_partkey", "name")

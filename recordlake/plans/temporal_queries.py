@@ -173,7 +173,15 @@ def rate_limit_24h(t: Tables) -> DataFrame:
     return temporal.sliding_limit(views.observations(t), 24, 6).select("entity_id", "pos", "n", "over")
 
 
-@query()
+COOLDOWN = """WITH RECURSIVE o AS (SELECT user_id AS entity_id, event_id AS pos, epoch_us(ts) AS t FROM events),
+counted AS (
+  SELECT entity_id, arg_min(pos, (t, pos)) AS pos, min(t) AS t FROM o GROUP BY entity_id
+  UNION ALL
+  SELECT o.entity_id, arg_min(o.pos, (o.t, o.pos)) AS pos, min(o.t) AS t FROM counted c JOIN o ON o.entity_id = c.entity_id AND o.t >= c.t + 1800000000 GROUP BY o.entity_id)
+SELECT entity_id, pos FROM counted"""
+
+
+@query(COOLDOWN)
 def cooldown_30m(t: Tables) -> DataFrame:
     return temporal.cooldown(views.observations(t))
 

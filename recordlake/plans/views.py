@@ -18,6 +18,15 @@ tags AS (
   GROUP BY ALL)"""
 
 
+def label_dictionary(t: Tables) -> DataFrame:
+    """Tags of all labels, from the few brands that they are made of."""
+    from recordlake.operators.tags import dictionary
+
+    brand = F.col("p_brand")
+    ways = F.array(F.upper(brand), F.concat(F.lit("  "), brand, F.lit(" ")), F.replace(brand, F.lit("#"), F.lit("  #")))
+    return dictionary(t.part.select(F.explode(ways).alias("label")))
+
+
 def labels(t: Tables) -> DataFrame:
     brand, line = F.col("p_brand"), F.col("l_linenumber") % 3
     label = F.when(line == 0, F.upper(brand)).when(line == 1, F.concat(F.lit("  "), brand, F.lit(" "))).otherwise(F.replace(brand, F.lit("#"), F.lit("  #")))

@@ -50,9 +50,9 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
 
 def require_shards(rows: DataFrame, shard: str, expected: int) -> DataFrame:
     """`rows`, or an error unless every shard from 0 to `expected` - 1 is there."""
-    found = rows.agg(F.count_distinct(shard)).head()[0]
-    if found != expected:
-        raise ValueError(f"{found} of {expected} shards are there")
+    found, low, high = rows.agg(F.count_distinct(shard), F.min(shard), F.max(shard)).head()
+    if (found, low, high) != (expected, 0, expected - 1):
+        raise ValueError(f"{found} of {expected} shards are there, from {low} to {high}")
     return rows
 
 

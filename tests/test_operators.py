@@ -146,3 +146,28 @@ def test_values(spark):
     assert [r[0] for r in u.select(values.safe_https(F.col("x"))).collect()] == [True, False, False, False]
     m = spark.createDataFrame([(" ",), ("0",), (None,)], "x string")
     assert [r[0] for r in m.select(values.meaningful(F.col("x"))).collect()] == [False, True, False]
+
+
+def test_entity_of_two_owners_counts_once_by_its_first_listing(spark):
+    rows = [(1, 7, 0, "Romance"), (1, 7, 1, "ｆａｎｔａｓｙ"), (1, 9, 0, "Drama"), (2, 9, 0, "romance"), (2, 9, 1, " Fantasy"), (2, 9, 2, "fantasy "), (3, 9, 0, None), (4, 9, 0, "  ")]
+    labels = spark.createDataFrame(rows, "entity_id int, owner_id int, pos int, label string")
+    own = tags.entity_tags(labels)
+    assert sorted(map(tuple, own.collect())) == [(1, 7, "fantasy", "ｆａｎｔａｓｙ"), (1, 7, "romance", "Romance"), (2, 9, "fantasy", " Fantasy"), (2, 9, "romance", "romance")]
+    assert tuple(tags.coverage(labels, own).head()) == (4, 2, 2, 4, 2, 0)
+
+
+def test_ordered_distinct_keeps_rows_without_a_key(spark):
+    from recordlake.operators import scans
+
+    rows = spark.createDataFrame([("a", 3), (None, 4), ("a", 1), (None, 2)], "k string, pos int")
+    assert sorted(map(tuple, scans.ordered_distinct(rows, "k", ["pos"]).collect()), key=str) == [("a", 1), (None, 2), (None, 4)]
+
+
+def test_ranking_and_scan_without_one_order_of_all(spark):
+    from recordlake.operators import audit, scans
+
+    rows = spark.createDataFrame([("x", 5, 1), ("x", 9, 2), ("x", 5, 0), ("x", None, 3), (None, 1, 4)], "l string, v int, id int")
+    assert {r.id: r["rank"] for r in scans.ranking(rows, "l", "v", "id").collect()} == {2: 1, 0: 2, 1: 3, 3: 4, 4: 1}
+    for fresh, want in (({0, 1, 6}, 4), ({3}, 2), (set(), 2), ({0, 2, 4, 6, 8}, 9)):
+        scan = spark.range(100).selectExpr("id as nth", f"floor(id / 10) in ({','.join(map(str, fresh)) or -1}) as is_new")
+        assert audit.scan_until_known(scan, 10, 3).agg({"page": "max"}).head()[0] == want

@@ -46,7 +46,10 @@ def test_publish_only_changes(spark, tmp_path):
     assert publish.read_published(spark, root).count() == 1
     with pytest.raises(FileNotFoundError):
         publish.read_published(spark, str(tmp_path / "none"))
-    assert publish.require_shards(rows, "id", 2) is rows
+    from_zero = rows.selectExpr("id - 1 as id")
+    assert publish.require_shards(from_zero, "id", 2) is from_zero
+    with pytest.raises(ValueError):
+        publish.require_shards(rows, "id", 2)  # shards 1 and 2 aren't 0 and 1
     with pytest.raises(ValueError):
         publish.require_shards(rows, "id", 3)
 
