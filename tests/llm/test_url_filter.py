@@ -33,8 +33,8 @@ def test_contract_rules(spark):
     assert url_filter.op1_url_filter(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("max_bytes", [64 << 20, 4])
-def test_long_lists_by_cascade_and_by_join(spark, max_bytes):
+@pytest.mark.parametrize("max_bytes", [64 << 20, 12])
+def test_long_lists_by_one_cascade_and_by_several(spark, max_bytes):
     r = random.Random(2)
     hosts = [".".join(r.choice("abcd") for _ in range(r.randrange(1, 4))) for _ in range(300)]
     rules = list({(h, p): (h, p, r.choice(["block", "allow"])) for h in hosts[:60] for p in (r.choice(["/", "/x/", "/x/y"]),)}.values())
@@ -55,3 +55,24 @@ def test_cascade_is_exact_over_its_universe(spark):
     hashed = url_filter._hashed(keys).toPandas()
     got = url_filter.passes(levels, hashed["h1"].to_numpy().view(np.uint64), hashed["h2"].to_numpy().view(np.uint64))
     assert (got == (hashed["key"].astype(int) % 37 == 0)).all()
+
+
+def test_rules_of_very_many_lengths_and_long_urls(spark):
+    rules = [("a.b", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(0, 600, 2)] + [("b", "/" + "x" * 299, "block")]
+    pages = [(n, f"http://w.a.b/{'x' * n}?q", "") for n in (0, 1, 298, 299, 300, 5000)] + [(9000, "http://" + "a." * 12 + "b/" + "x" * 100_000, ""), (9001, "http://c/" + "y" * 100_000, "")]
+    got = {x.page_id: tuple(x)[1:] for x in url_filter.judge_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(rules, "host string, path string, action string")).collect()}
+    assert got == {i: brute(u, rules) for i, u, _ in pages}
+
+
+def test_keys_that_share_their_hashes_are_told_apart_by_others(spark, monkeypatch):
+    real, tried = url_filter.hashes, []
+
+    def weak(key, salt):
+        tried.append(salt)
+        return real(key, salt) if salt else (url_filter.F.lit(7).cast("bigint"), url_filter.F.lit(7).cast("bigint"))
+
+    monkeypatch.setattr(url_filter, "hashes", weak)
+    monkeypatch.setattr(url_filter, "ROUNDS", 3)
+    pages = [(i, u, "x") for i, u in enumerate(URLS)]
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.op1_url_filter(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {i: brute(u, url_filter.RULES) for i, u, _ in pages} and set(tried) == {0, 1}
