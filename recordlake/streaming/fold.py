@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,29 +17,45 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from recordlake.operators.temporal import last_known
 
 
-def merge_last_known(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> None:
+#: Batches after which the deltas since the last base are merged into a new one.
+COMPACT_EVERY = 16
+
+
+def merge_last_known(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> None:
     """Folds a stream of entity_id, pos, at, path, k into a table of the newest value per key, and waits for its end.
 
-    A batch is aggregated to one row per key before it meets the table; rewriting a version under the batch's number makes
-    a repeated batch harmless.
+    A batch writes one row per key it has, as a delta under its number, so its work follows the batch and not the table; a
+    repeated batch overwrites its own delta. Now and then deltas are merged into a base.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         own = batch.where("k is not null").groupBy("entity_id", "path").agg(F.max_by("k", F.struct("at", "pos")).alias("k"), F.max(F.struct("at", "pos")).alias("seen"))
-        rows = own.select("entity_id", "path", "k", F.col("seen.at").alias("at"), F.col("seen.pos").alias("pos"))
-        if number:
-            rows = spark.read.parquet(f"{out}/version={number - 1}").unionByName(rows)
-        newest = rows.groupBy("entity_id", "path").agg(F.max_by(F.struct("k", "at", "pos"), F.struct("at", "pos")).alias("n"))
-        newest.select("entity_id", "path", "n.*").write.mode("overwrite").parquet(f"{out}/version={number}")
+        own.select("entity_id", "path", "k", F.col("seen.at").alias("at"), F.col("seen.pos").alias("pos")).write.mode("overwrite").parquet(f"{out}/delta/batch={number}")
+        if (number + 1) % compact_every == 0:
+            _merged(spark, out, number).write.mode("overwrite").parquet(f"{out}/base/batch={number}")
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _merged(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """Newest value per key of the newest base below batch `before` and the deltas behind it."""
+    rows, base = spark.read.parquet(f"{out}/delta"), None
+    try:
+        bases = spark.read.parquet(f"{out}/base")
+        bases = bases if before is None else bases.where(F.col("batch") < before)
+        base = bases.agg(F.max("batch")).head()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    if base is not None:
+        rows = rows.where(F.col("batch") > base).unionByName(bases.where(F.col("batch") == base))
+    newest = rows.groupBy("entity_id", "path").agg(F.max_by(F.struct("k", "at", "pos"), F.struct("at", "pos")).alias("n"))
+    return newest.select("entity_id", "path", "n.*")
+
+
 def read_merged(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version of the table."""
-    rows = spark.read.parquet(out)
-    newest = rows.agg(F.max("version")).head()[0]
-    return rows.where(F.col("version") == newest).drop("version")
+    """The table as of the newest batch."""
+    return _merged(spark, out)
 
 
 def confirm_deletions(stream: DataFrame, needed: int = 2) -> DataFrame:

@@ -67,12 +67,14 @@ def test_checked_csv(spark, tmp_path):
 SCHEMA = "entity_id bigint, pos bigint, at bigint, path string, k bigint"
 
 
-def test_stream_fold_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [2, 16])
+def test_stream_fold_equals_batch(spark, tmp_path, compact_every):
     data = [(i % 3, i, i // 2, "ab"[i % 2], None if i % 5 == 0 else i) for i in range(40)]
-    for n in range(2):
-        spark.createDataFrame(data[n::2], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for n in range(5):
+        spark.createDataFrame(data[n::5], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    fold.merge_last_known(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    fold.merge_last_known(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"), compact_every)
+    assert len(list((tmp_path / "out").glob("base/batch=*"))) == 5 // compact_every
     merged = fold.read_merged(spark, str(tmp_path / "out"))
     assert merged.count() == last_known(spark.createDataFrame(data, SCHEMA)).count()
     assert fold.parity(spark.createDataFrame(data, SCHEMA), merged).count() == 0
