@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.session import shared_dir
 from recordlake.streaming import fold
 
 from .registry import Tables, query
@@ -14,7 +15,7 @@ from .temporal_queries import W
 
 
 def _shared(t: Tables) -> str:
-    return f"{(t.spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/recordlake').rstrip('/')}/fold-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
 
 
 @query(W + "SELECT entity_id, path, k FROM known")

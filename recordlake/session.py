@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Used only where the session names no shared folder and all its tasks run on this machine, as in tests.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/recordlake"
+
 
 def get_session(app: str = "recordlake", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with UTC time, AQE and Arrow on; `conf` entries use `_` for `.`."""
@@ -23,3 +26,13 @@ def get_session(app: str = "recordlake", master: str = "local[*]", shuffle_parti
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a local one, but only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_CHECKPOINTS
