@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, cut, documents, nullable_ints, slices, space_words
+from .common import by_key, cut, documents, drop, nullable_ints, slices, space_words
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of a bucket that are compared as one block; larger buckets are dealt out as pairs of blocks.
@@ -37,7 +37,12 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends[:-1]]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a : b - 1], seed=SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], ">u8")
+    return majority(np.array([h(line[a : b - 1], seed=SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that more than half of the hashes have."""
+    hashes = hashes.astype(">u8")
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -152,7 +157,7 @@ def links(nodes: DataFrame, n_nodes: int, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each node's part; nodes without links don't appear.
+    """node, root: the least node of each node's part, as a written table; nodes that are roots or without links don't appear.
 
     Alternates large-star and small-star steps: each makes links point at least neighbours, keeps the number of links
     and what they join, and ends in stars. Each step's minimum is aggregated before it is joined back, so a
@@ -164,16 +169,27 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        drop(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
+        drop(large)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        if now == before or not now[0]:
+            # In a star a node has one link, to the root.
+            roots = cut(edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"))
+            drop(edges)
+            return roots
         before = now
 
 
+def fingerprint_roots(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root for each of the distinct fingerprints: those that links join share a root."""
+    roots = components(links(prints, prints.count(), radius))
+    return prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each row of `docs` (doc_id, text).
 
@@ -182,8 +198,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     prints = cut(fingerprints(docs, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes, nodes.count(), radius))
-    rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    rooted = cut(nodes.join(fingerprint_roots(nodes.select("fp"), radius), "fp"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
