@@ -28,11 +28,11 @@ CHUNK, OVERLAP = 32_768, 256
 #: Tokens before and after a boundary that both chunks must agree on.
 GUARD = 2
 #: Units whose tokens a worker remembers; beyond it starts anew, which bounds its memory.
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 600_000
 #: Letter words that are encoded as one text.
 JOINED = 2_000
 #: Rows and bytes of text that are handled at a time.
-SLICE_ROWS, SLICE_BYTES = 4_096, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4_096, 4 << 20
 #: Marks that may follow a letter word; they are a pre-token of their own.
 MARKS = b".,;:!?"
 
