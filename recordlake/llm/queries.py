@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_tools, decontamination, licenses, packing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
+from . import chat_tools, collocations, decontamination, filter_audit, licenses, mixing, packing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,9 @@ QUERIES: dict[str, Query] = {
     "op8_packing": _over("documents", packing.op8_packing),
     "op9_tool_calls": _over("conversations", chat_tools.op9_tool_calls),
     "op10_decontamination": lambda spark, sf_dir: decontamination.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op11_mixing": _over("documents", mixing.op11_mixing),
+    "op12_collocations": _over("documents", collocations.op12_collocations),
+    "op13_filter_audit": lambda spark, sf_dir: filter_audit.op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,6 +135,51 @@ items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
+_WEIGHTS = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
+_BLANK = r"[\x20\x09-\x0D]+"
+MIX_SQL = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACE}+')) AS BIGINT) AS size FROM documents),
+q AS (SELECT doc_id, source, size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)) AS h, CASE WHEN size > 0 THEN
+  greatest(0.05::DOUBLE, 1 - 10 * (length(t) - length(regexp_replace(t, '{mixing.SYMBOLS}', '', 'g'))) / length(t)::DOUBLE)
+  * CASE WHEN length(regexp_replace(t, '{_BLANK}', '', 'g')) / size::DOUBLE BETWEEN 3 AND 12 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END ELSE 1.0::DOUBLE END AS quality FROM t),
+k AS (SELECT doc_id, source, size, -ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / quality AS key, quality FROM q),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {_WEIGHTS}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM k GROUP BY source),
+o AS (SELECT *, {mixing.CAP} * source_size / weight::DOUBLE AS ratio, CAST(sum(source_size) OVER () - {mixing.CAP} * (sum(source_size) OVER w - source_size) AS DOUBLE) / CAST(sum(weight) OVER () - (sum(weight) OVER w - weight) AS DOUBLE) AS level
+  FROM s WINDOW w AS (ORDER BY {mixing.CAP} * source_size / weight::DOUBLE, source ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT arg_min(level, ratio) AS level FROM o WHERE level <= ratio),
+g AS (SELECT source, source_size, least({mixing.CAP} * source_size::DOUBLE, weight * level) AS target FROM s, l),
+r AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM g),
+p AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS epochs, CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END AS rest,
+  sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size, quality ROWS UNBOUNDED PRECEDING) - size AS before FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM p"""
+
+_MIN, _TOP, _PIECE = collocations.MIN_COUNT, collocations.TOP, r"[.,;:!?\x0A-\x0D]"
+COLLOCATION_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_PIECE}')), '[^\\x20\\x09]+') AS w FROM documents),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, g, count(*) AS a FROM (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) x(k))) GROUP BY ALL HAVING count(*) >= {_MIN}),
+inside AS (SELECT DISTINCT s.lang, s.g FROM (SELECT lang, a, unnest([g[1:len(g) - 1], g[2:len(g)]]) AS g FROM f WHERE len(g) > 2) q JOIN f s ON s.lang = q.lang AND s.g = q.g AND 100 * q.a >= 100 * s.a),
+c AS (SELECT f.lang, f.g, f.a, unnest(range(1, len(f.g))) AS k FROM f ANTI JOIN inside USING (lang, g) WHERE len(f.g) > 1),
+s AS (SELECT c.lang, c.g, c.a, c.k, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:len(c.g)] JOIN total ON total.lang = c.lang),
+m AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM m QUALIFY rank <= {_TOP}"""
+
+AUDIT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS x FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x, count(*) AS n, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM d JOIN firsts USING (t) LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+f(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT s.c || t.c || u.c || v.c || w.c AS filter_order, [s.b, t.b, u.b, v.b, w.b] AS bits FROM f s, f t, f u, f v, f w WHERE s.b + t.b + u.b + v.b + w.b = 31 AND len(list_distinct([s.b, t.b, u.b, v.b, w.b])) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS past FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (past + bit) = 0) AS kept, sum(n) FILTER (mask & past = 0 AND mask & bit > 0) AS removed, sum(n) FILTER (mask & past > 0 AND mask & bit > 0) AS redundant,
+  sum(n) FILTER (mask = bit) AS unique_fails, sum(n * q) FILTER (mask & past = 0 AND mask & bit > 0) AS good_lost, sum(n * x) FILTER (mask & past = 0 AND mask & bit > 0) AS toxic_lost FROM m, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
 QUERIES["tool_chains"] = tool_chains
 
 #: The other operators need a tokenizer, XXH64, byte windows, templates or fitted weights; tests hold them against brute-force versions.
@@ -140,5 +188,8 @@ SQL: dict[str, str] = {
     "op7_quality": QUALITY_SQL,
     "op9_tool_calls": TOOL_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
+    "op11_mixing": MIX_SQL,
+    "op12_collocations": COLLOCATION_SQL,
+    "op13_filter_audit": AUDIT_SQL,
     "tool_chains": CHAIN_SQL,
 }
