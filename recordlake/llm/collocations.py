@@ -26,6 +26,8 @@ from .common import cut, documents, drop, slices
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Words of a block; a document is never divided, so a block holds at most one document more.
 BLOCK_WORDS = 4_000_000
+#: Pairs of words are counted in so many passes, each for a share of the first words, so that their counts aren't all on disk at once.
+PASSES = 3
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Separators become dots, which thus stand in no word.
@@ -39,16 +41,37 @@ def piece_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_DOTTED).replace(b".", b" . ").split()
 
 
+def _packed(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The numbers, seven bits a byte with the lowest first and the eighth set where more follow; and where each one ends."""
+    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        has = size > k
+        out[(ends - size)[has] + k] = (numbers[has] >> 7 * k) & 127 | (size[has] > k + 1) << 7
+    return out.tobytes(), ends
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8)
+    if not len(own):
+        return np.zeros(0, np.int64)
+    begins = np.r_[0, np.flatnonzero(own < 128)[:-1] + 1]
+    nth = np.arange(len(own)) - np.repeat(begins, np.diff(np.r_[begins, len(own)]))
+    return np.add.reduceat((own & 127).astype(np.int64) << 7 * nth, begins)
+
+
 def _lists(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Distinct ids, the lengths of their lists and the lists: the gaps between sorted positions, as four bytes each."""
+    """Distinct ids, the lengths of their lists and the lists: the packed gaps between sorted positions."""
     order = np.argsort(ids, kind="stable")
     ids, at = ids[order], at[order]
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     gaps = np.diff(at, prepend=0)
     gaps[starts] = at[starts]
-    raw = gaps.astype("<u4").tobytes()
+    raw, bounds = _packed(gaps)
     ends = np.r_[starts[1:], len(ids)]
-    return ids[starts], ends - starts, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    stops = bounds[ends - 1].tolist()
+    return ids[starts], ends - starts, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
 class _Block:
@@ -108,7 +131,7 @@ class _Index:
     def __init__(self, rows: pd.DataFrame) -> None:
         self.keys = rows["key"].to_numpy(np.int64)
         lengths = rows["n"].to_numpy(np.int64)
-        gaps = np.frombuffer(b"".join(rows["gaps"]), "<u4").astype(np.int64)
+        gaps = _unpacked(b"".join(rows["gaps"]))
         run = np.cumsum(gaps)
         starts = np.cumsum(lengths) - lengths
         at = run - np.repeat(run[starts] - gaps[starts], lengths) if len(gaps) else gaps
@@ -142,9 +165,12 @@ def _numbers(keys: np.ndarray, wanted: pd.Series) -> np.ndarray:
     return pd.Index(keys).get_indexer(wanted.to_numpy(np.int64)).astype(np.int64)
 
 
-def _level(length: int):  # noqa: ANN202
+def _level(length: int, share: int | None = None):  # noqa: ANN202
     """For one block: from its words' lists, its lists of phrases of `length` - 1 words and the frequent phrases of `length`
-    words, the lists of the latter; and of all phrases one word longer, whose parts are frequent, the lengths of their lists."""
+    words, the lists of the latter; and of all phrases one word longer, whose parts are frequent, the lengths of their lists.
+
+    With `share`, only of those phrases whose beginning falls to that pass.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         block, kind = rows["block"].iloc[0], rows["kind"].to_numpy()
@@ -164,7 +190,10 @@ def _level(length: int):  # noqa: ANN202
             else:
                 lists = rows[:0]
             phrases = _Index(lists)
-        at, phrase, word = _extended(phrases, words, length, True)
+        _, phrase, word = _extended(phrases, words, length, True)
+        if share is not None:
+            own = phrases.keys[phrase] % PASSES == share
+            phrase, word = phrase[own], word[own]
         pair, counts = np.unique(phrase * np.int64(len(words.keys)) + word, return_counts=True)
         if len(pair):
             prefix, word = np.divmod(pair, len(words.keys))
@@ -201,23 +230,22 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     names = levels[0].select(F.col("key").alias("word"), F.col("words").alias("next_words"))
 
     base = _kind(words.select("block", "key", "n", "gaps"), 0)
-    counts = base.groupBy("block").applyInPandas(_level(1), _LISTS)
-    lists, kept = None, []
+    owns = [_frequent(base.groupBy("block").applyInPandas(_level(1, share), _LISTS), min_count) for share in range(PASSES)]
+    own, extended = reduce(DataFrame.unionByName, owns), None
     for length in range(2, max_words + 1):
-        own = _frequent(counts, min_count)
         before = levels[-1].select(F.col("key").alias("prefix"), "lang", "n", "words", "keys")
         distinct = own.groupBy("key", "prefix", "word").agg(F.any_value("a").alias("a"))
         longer = distinct.join(before, "prefix").join(names, "word")
         levels.append(cut(longer.select("lang", "n", F.concat("words", "next_words").alias("words"), F.concat("keys", F.array("word")).alias("keys"), "key", "a")))
+        past, past_owns = extended, owns
         if length < max_words:
             parts = base.unionByName(_kind(own, 2))
-            parts = parts if lists is None else parts.unionByName(_kind(lists, 1))
+            parts = parts if past is None else parts.unionByName(_kind(past.where("gaps is not null"), 1))
             extended = cut(parts.groupBy("block").applyInPandas(_level(length), _LISTS))
-            counts, lists = extended.where("gaps is null"), extended.where("gaps is not null")
-            kept.append(extended)
-        kept.append(own)
+            owns = [own := _frequent(extended.where("gaps is null"), min_count)]
+        drop(*past_owns, *([past] if past is not None else []))
     out = cut(reduce(DataFrame.unionByName, levels))
-    drop(found, *kept, *levels)
+    drop(found, *levels)
     return out
 
 
