@@ -14,22 +14,29 @@ from recordlake.session import shared_dir
 
 #: Has Spark delete the shuffle files of an action when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch, all of which a Python worker holds at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, which cuts its lineage. Shuffle files go with the write; `drop` removes the rest."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back, which cuts its lineage. Shuffle files go with the write; `drop` removes the rest.
+
+    `rows` bounds Arrow batches of whole texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
+    before, batch = spark.conf.get(CLEANUP, None), spark.conf.get(BATCH)
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(rows or batch))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before or "false")
+        spark.conf.set(BATCH, batch)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
