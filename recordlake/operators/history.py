@@ -23,11 +23,11 @@ def observe(rows: DataFrame, text_leaves: tuple[str, ...], volatile: tuple[str,
     """
     at = F.struct("at", "source")
     documents = rows.select("entity_id", "source", "at").distinct()
-    documents = documents.withColumn("next_at", F.lead("at").over(Window.partitionBy("entity_id", "source").orderBy("at")))
+    next_at = F.lead("at").over(Window.partitionBy("entity_id", "source").orderBy("at"))
+    documents = documents.withColumns({"next_at": next_at, "created": F.min(at).over(Window.partitionBy("entity_id")) == at})
     per_path = Window.partitionBy("entity_id", "path").orderBy("at", "source").rowsBetween(Window.unboundedPreceding, -1)
     own = rows.where(~leaf(F.col("path")).isin(*volatile)).join(documents, ["entity_id", "source", "at"])
-    first = F.min(at).over(Window.partitionBy("entity_id"))
-    own = own.withColumns({"known": F.last("value", ignorenulls=True).over(per_path), "created": first == at})
+    own = own.withColumn("known", F.last("value", ignorenulls=True).over(per_path))
     moved = own.where("value is not null and not created").where(~F.col("value").eqNullSafe(F.col("known")))
     moved = moved.select("entity_id", "source", "at", "path", F.lit("value").alias("kind"), F.col("known").alias("from"), F.col("value").alias("to"))
     here = Window.partitionBy("entity_id", "source", "path").orderBy("at")

@@ -15,10 +15,9 @@ from .temporal_queries import ACTIVITY, W
 # Documents of observations: what a source told of an entity on one day, a path per event type; small values are there but empty.
 DOCS = f"""{views.OBS}, rows_ AS (SELECT entity_id, source, day AS d_at, 'fields.' || path AS path, CASE WHEN max(value) >= 20 THEN max(k) END AS value FROM obs GROUP BY ALL)"""
 OBSERVE = f"""WITH {DOCS},
-docs AS (SELECT *, lead(d_at) OVER (PARTITION BY entity_id, source ORDER BY d_at) AS next_at FROM (SELECT DISTINCT entity_id, source, d_at FROM rows_)),
-own AS (SELECT r.*, d.next_at,
+docs AS (SELECT *, lead(d_at) OVER (PARTITION BY entity_id, source ORDER BY d_at) AS next_at, min((d_at, source)) OVER (PARTITION BY entity_id) = (d_at, source) AS created FROM (SELECT DISTINCT entity_id, source, d_at FROM rows_)),
+own AS (SELECT r.*, d.next_at, d.created,
   last_value(value IGNORE NULLS) OVER (PARTITION BY r.entity_id, path ORDER BY r.d_at, r.source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known,
-  min((r.d_at, r.source)) OVER (PARTITION BY r.entity_id) = (r.d_at, r.source) AS created,
   lead(r.d_at) OVER p AS path_at, lead(value) OVER p AS path_value
   FROM rows_ r JOIN docs d ON r.entity_id = d.entity_id AND r.source = d.source AND r.d_at = d.d_at WHERE path <> 'fields.error' WINDOW p AS (PARTITION BY r.entity_id, r.source, path ORDER BY r.d_at)),
 ev AS (
@@ -28,13 +27,13 @@ ev AS (
 """
 
 
-def _documents(t: Tables) -> DataFrame:
+def observation_documents(t: Tables) -> DataFrame:
     own = views.observations(t).withColumn("path", F.concat(F.lit("fields."), "path"))
     return own.groupBy("entity_id", "source", F.col("day").alias("at"), "path").agg(F.when(F.max("value") >= 20, F.max("k")).alias("value"))
 
 
 def _events(t: Tables) -> DataFrame:
-    return history.observe(_documents(t), ("view", "click"), ("error",))
+    return history.observe(observation_documents(t), ("view", "click"), ("error",))
 
 
 @query(OBSERVE + 'SELECT entity_id, source, CAST(d_at AS VARCHAR) AS "at", path, kind, "from", "to" FROM ev')
@@ -73,7 +72,7 @@ both_ AS (SELECT entity_id, d_at, path, "from", "to" FROM ev WHERE kind = 'value
 def change_union(t: Tables) -> DataFrame:
     fields = _events(t).where("kind = 'value'").select("entity_id", "at", "path", "from", "to")
     order = Window.partitionBy("entity_id").orderBy("at", "source")
-    own = _documents(t).where("path = 'fields.view' and value is not null").withColumn("from", F.lag("value").over(order)).where("from is not null and from <> value")
+    own = observation_documents(t).where("path = 'fields.view' and value is not null").withColumn("from", F.lag("value").over(order)).where("from is not null and from <> value")
     metrics = own.select("entity_id", "at", "path", "from", F.col("value").alias("to"))
     return history.merge_changes(fields, metrics, "fields.view").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -138,14 +137,14 @@ late AS (SELECT entity_id, path, arg_max(value, (d_at, value)) AS incoming FROM
 
 @query(IMPORT + " SELECT coalesce(k.entity_id, l.entity_id) AS entity_id, coalesce(k.path, l.path) AS path, coalesce(value, incoming) AS value, value IS NULL AS filled FROM known k FULL JOIN late l ON k.entity_id = l.entity_id AND k.path = l.path")
 def late_import(t: Tables) -> DataFrame:
-    docs = _documents(t)
+    docs = observation_documents(t)
     known = docs.where("source = 'api' and value is not null").groupBy("entity_id", "path").agg(F.max_by("value", F.struct("at", "source")).alias("value"))
     return history.import_snapshots(known, docs.where("source = 'listing'").select("entity_id", "at", "path", "value"))
 
 
 @query(f"WITH {DOCS} SELECT entity_id, CAST(min(d_at) AS VARCHAR) AS first_seen, CAST(max(d_at) AS VARCHAR) AS last_seen FROM rows_ GROUP BY 1")
 def import_span(t: Tables) -> DataFrame:
-    docs = _documents(t)
+    docs = observation_documents(t)
     own = history.seen_span(docs.where("source = 'api'"), docs.where("source = 'listing'"))
     return own.select("entity_id", F.col("first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"))
 

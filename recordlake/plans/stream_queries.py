@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.session import shared_dir
-from recordlake.streaming import fold
+from recordlake.streaming import fold, observe
 
+from .history_queries import OBSERVE, observation_documents
 from .registry import Tables, query
 from .temporal_queries import W
 
@@ -30,3 +31,39 @@ def stream_fold_parity(t: Tables) -> DataFrame:
     root = _shared(t)
     fold.merge_last_known(t.spark, own, f"{root}/table", f"{root}/state")
     return fold.read_merged(t.spark, f"{root}/table").select("entity_id", "path", "k")
+
+
+#: Documents wait for others of the same time and for earlier ones; the tables at hand span 30 days and come in no order.
+LATENESS = "60 DAYS"
+#: Batches that the documents are dealt out to.
+BATCHES = 3
+
+#: Status: a document with an error tells of a deletion, `api` verifies; metrics: the leaf `error`.
+STREAMED = OBSERVE + """, doc AS (SELECT entity_id, source, d_at, bool_or(path = 'fields.error' AND value IS NOT NULL) AS gone FROM rows_ GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER w = 1 AS first, CASE WHEN gone THEN 'deleted' WHEN source = 'api' OR row_number() OVER w = 1 THEN 'public' END AS sets FROM doc WINDOW w AS (PARTITION BY entity_id ORDER BY d_at, source)),
+before AS (SELECT *, last_value(sets IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY d_at, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM turns),
+statuses AS (SELECT entity_id, source, d_at, 'status' AS path, CASE WHEN gone THEN CASE WHEN was IS DISTINCT FROM 'deleted' THEN 'deleted' END WHEN was = 'deleted' THEN CASE WHEN source = 'api' THEN 'restored' ELSE 'restore-candidate' END WHEN first THEN 'new' END AS kind, was AS "from" FROM before),
+metric AS (SELECT entity_id, source, d_at, path, lag(value) OVER (PARTITION BY entity_id, path ORDER BY d_at, source) AS was, value FROM rows_ WHERE path = 'fields.error' AND value IS NOT NULL),
+all_ AS (SELECT entity_id, source, d_at, path, kind, CAST("from" AS VARCHAR) AS "from", CAST("to" AS VARCHAR) AS "to" FROM ev
+  UNION ALL SELECT entity_id, source, d_at, path, 'metric', CAST(was AS VARCHAR), CAST(value AS VARCHAR) FROM metric WHERE was IS DISTINCT FROM value
+  UNION ALL SELECT entity_id, source, d_at, path, kind, "from", CASE kind WHEN 'deleted' THEN 'deleted' WHEN 'restore-candidate' THEN NULL ELSE 'public' END FROM statuses WHERE kind IS NOT NULL)
+"""
+
+
+def _observed(t: Tables) -> DataFrame:
+    """Events of the documents as a stream, dealt out to batches by a hash, the parts of a document too."""
+    root = _shared(t)
+    rows = observation_documents(t).select("entity_id", "source", F.col("at").cast("timestamp").alias("at"), "path", F.col("value").cast("string").alias("value"))
+    schema = rows.schema
+    for i in range(BATCHES):
+        rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)) == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    observe.closing_row(rows, LATENESS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    own = observe.ObservationFold(("view", "click"), ("error",), ("error",), "error", "api")
+    return observe.fold_files(t.spark, stream, own, LATENESS, f"{root}/events", f"{root}/state")
+
+
+@query(STREAMED + 'SELECT entity_id, source, CAST(d_at AS VARCHAR) AS "at", path, kind, "from", "to" FROM all_')
+def stream_observe_events(t: Tables) -> DataFrame:
+    """The observation fold over shuffled batches: the events of `observe_events` row by row, and those of metrics and status."""
+    return _observed(t).withColumn("at", F.date_format("at", "yyyy-MM-dd"))
