@@ -13,8 +13,12 @@ LANGUAGES = {
     "italian": "it", "portuguese": "pt", "português": "pt", "japanese": "ja", "korean": "ko", "chinese": "zh", "russian": "ru", "polish": "pl",
     "dutch": "nl", "turkish": "tr", "arabic": "ar", "thai": "th", "vietnamese": "vi", "indonesian": "id",
 }
-#: Scripts, and accented Latin letters, that English text doesn't use.
-NOT_ENGLISH = "[\\u0370-\\u03FF\\u0400-\\u058F\\u0590-\\u06FF\\u0750-\\u077F\\u0900-\\u097F\\u0E00-\\u0E7F\\u10A0-\\u10FF\\u3040-\\u30FF\\u3400-\\u9FFF\\uAC00-\\uD7AFÀ-ÖØ-öø-ž]"
+#: Fixed scripts that English text doesn't use.
+FOREIGN_SCRIPTS = ("Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Thai", "Georgian", "Hiragana", "Katakana", "Han", "Hangul")
+#: The tag by which an owner says that a text is foreign.
+FOREIGN_TAG = "non-english"
+#: Fixed schemes of urls that an image never has.
+REFUSED_SCHEMES = ("javascript", "data", "file", "blob")
 #: Days of the named periods.
 PERIODS = {"1d": 1, "7d": 7, "30d": 30, "90d": 90, "1y": 365}
 
@@ -45,9 +49,14 @@ def language_code(x: Column) -> Column:
     return F.coalesce(F.try_element_at(known, clean), F.substring_index(clean, "-", 1))
 
 
-def may_need_translation(text: Column) -> Column:
+def may_need_translation(text: Column, tags: Column | None = None) -> Column:
+    """Whether a text of two characters or more is tagged as foreign, or has a letter of a foreign script or an accented Latin one."""
     clean = F.trim(F.coalesce(text, F.lit("")))
-    return (F.length(clean) >= 2) & clean.rlike(NOT_ENGLISH)
+    scripts = "".join(f"\\p{{Is{name}}}" for name in FOREIGN_SCRIPTS)
+    foreign = clean.rlike(f"[{scripts}]|[\\p{{IsLatin}}&&[\\u00C0-\\u017E]]")
+    if tags is not None:
+        foreign = foreign | F.coalesce(F.exists(tags, lambda t: F.lower(t) == FOREIGN_TAG), F.lit(False))
+    return (F.length(clean) >= 2) & foreign
 
 
 def comma_list(x: Column) -> Column:
@@ -67,11 +76,21 @@ def within_period(at: Column, now: Column, period: str) -> Column:
 
 
 def age_text(at: Column, now: Column) -> Column:
-    """Hours up to two days, days up to two months, else months of 30.44 days."""
-    hours = F.floor((F.unix_seconds(now) - F.unix_seconds(at)) / 3600)
-    days = F.floor(hours / 24)
-    say = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
-    return F.when(at.isNull(), "unknown").when(hours < 48, say(hours, "hour")).when(days < 61, say(days, "day")).otherwise(say(F.floor(days / 30.44), "month"))
+    """Whole hours, one at least, below a day; whole days below 60; else months of 30.44 days with one decimal. The future is no age."""
+    days = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / 86_400_000_000)
+    hours = F.greatest(F.lit(1), F.floor(days * 24))
+    return (
+        F.when(at.isNull(), "Unknown")
+        .when(days < 1, F.concat(hours.cast("string"), F.lit(" hours")))
+        .when(days < 60, F.concat(F.floor(days).cast("string"), F.lit(" days")))
+        .otherwise(F.concat(F.format_string("%.1f", days / 30.44), F.lit(" months")))
+    )
+
+
+def image_reference(*candidates: Column) -> Column:
+    """The first text of up to 2048 characters that isn't of a refused scheme; empty if there is none."""
+    usable = [F.when((F.trim(c) != "") & (F.length(F.trim(c)) <= 2048) & ~F.lower(F.trim(c)).rlike(f"^({'|'.join(REFUSED_SCHEMES)}):"), F.trim(c)) for c in candidates]
+    return F.coalesce(*usable, F.lit(""))
 
 
 def guarded_int(x: Column, low: int, high: int) -> Column:
@@ -108,18 +127,6 @@ def latest_flag(flags: list[Column], older: Column) -> Column:
     return F.when(flag.isNotNull(), F.when(flag, "shared").otherwise("private")).otherwise(F.coalesce(older, F.lit("unknown")))
 
 
-def title_roles(title: Column) -> dict[str, Column]:
-    """bot, user: the role that a title's wording gives a side; null for none or several."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[!|×:;—–\-_/]+", " "), r"\s+", " "))
-    role, user, article = "(dom(?:inant)?|domme|sub(?:missive)?)", "(?:users?|players?|you)", "(?:(?:the|a|an) )?"
-    other = "(?:bots?|characters?|ais?)"
-    partner = "(?:girlfriend|boyfriend|wife|husband|partner|lover|roommate|boss|teacher|friend|neighbou?r|master|mistress|owner|maid|assistant|queen|king)"
-    found = lambda *patterns: F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns)), lambda r: F.when(r.startswith("sub"), "submissive").otherwise("dominant")))
-    bots = found(rf"\b{role} {other}\b", rf"\b{other} (?:is|are|as) {article}{role}\b", rf"\byour (?:(?:very|super) )?{role} {partner}\b")
-    users = found(rf"\b{role} {user}\b", rf"\b{user} (?:is|are|as) {article}{role}\b", rf"\byou're {article}{role}\b", rf"\b(?:for|with) (?:(?:a|the) )?{role} users?\b")
-    return {"bot": F.when(F.size(bots) == 1, bots[0]), "user": F.when(F.size(users) == 1, users[0])}
-
-
 def latest_slot(now: Column, weekdays: tuple[int, ...], hour: int, minute: int) -> Column:
     """The newest time of the given weekdays (0: Monday), hour and minute that isn't after now."""
     days = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: F.date_sub(F.to_date(now), d))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordlake.functions import cleaning
+from recordlake.functions import cleaning, roles
 from recordlake.operators import guards
+from recordlake.operators.history import leaf
 
 from . import views
 from .registry import Tables, query
@@ -40,10 +41,12 @@ def change_categories(t: Tables) -> DataFrame:
     return t.events.select("event_id", cleaning.category_of(leaf, {"reach": ("view", "click"), "state": ("error",)}).alias("category"))
 
 
-@query("SELECT doc_id, lang AS code, regexp_matches(text, '[À-ÖØ-öø-žͰ-Ͽ一-鿿]') AS translate FROM documents")
+@query("SELECT doc_id, lang AS code, length(trim(coalesce(text, ''))) >= 2 AND (regexp_matches(coalesce(text, ''), '[À-ÖØ-öø-žͰ-Ͽ一-鿿]') OR source = 'src3') AS translate FROM documents")
 def languages(t: Tables) -> DataFrame:
+    """Source 3 stands for owners that tag their texts as foreign."""
     names = F.create_map(*(F.lit(x) for x in ("en", " English", "de", "Deutsch", "fr", "fr_CA", "es", "ES-mx")))
-    return t.documents.select("doc_id", cleaning.language_code(F.try_element_at(names, F.col("lang"))).alias("code"), cleaning.may_need_translation(F.col("text")).alias("translate"))
+    tags = F.array(F.lit("new"), F.when(F.col("source") == "src3", "Non-English"))
+    return t.documents.select("doc_id", cleaning.language_code(F.try_element_at(names, F.col("lang"))).alias("code"), cleaning.may_need_translation(F.col("text"), tags).alias("translate"))
 
 
 @query("SELECT p_partkey, p_name || '|' || p_brand AS items FROM part")
@@ -67,7 +70,7 @@ def period_counts(t: Tables) -> DataFrame:
     return t.events.agg(count("7d").alias("d7"), count("30d").alias("d30"), count("1d").alias("d1"))
 
 
-@query(f"SELECT o_orderkey, CASE WHEN h < 48 THEN h || CASE WHEN h = 1 THEN ' hour' ELSE ' hours' END WHEN h // 24 < 61 THEN (h // 24) || ' days' ELSE CAST(floor((h // 24) / 30.44) AS BIGINT) || CASE WHEN floor((h // 24) / 30.44) = 1 THEN ' month' ELSE ' months' END END AS age FROM (SELECT o_orderkey, CAST(floor((epoch({NOW}) - epoch(o_orderdate)) / 3600) AS BIGINT) AS h FROM orders)")
+@query(f"SELECT o_orderkey, CASE WHEN d < 1 THEN greatest(1, CAST(floor(d * 24) AS BIGINT)) || ' hours' WHEN d < 60 THEN CAST(floor(d) AS BIGINT) || ' days' ELSE printf('%.1f months', d / 30.44) END AS age FROM (SELECT o_orderkey, greatest(0.0::DOUBLE, (epoch_us({NOW}) - epoch_us(o_orderdate)) / 86400000000) AS d FROM orders)")
 def age_texts(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", cleaning.age_text(F.col("o_orderdate").cast("timestamp"), F.expr(NOW)).alias("age"))
 
@@ -101,14 +104,32 @@ def visibility(t: Tables) -> DataFrame:
     return own.select("doc_id", cleaning.latest_flag([F.lit(None).cast("boolean"), F.col("toxic") == 1], F.when(F.col("lang") != "en", "private")).alias("visibility"))
 
 
-ROLES = "('the dom bot','dominant',NULL),('sub user with a dominant character','dominant','submissive'),('You are: a submissive','','submissive'),('your very dominant teacher','dominant',''),('dom bot or sub bot','',''),('nothing here','',''),('for a sub user','','submissive')"
+# Titles are made of a part's columns: its size chooses the wording and the role, its key the second role.
+TITLED = """titled AS (SELECT p_partkey, p_size % 8 AS kind, CASE WHEN p_size % 3 = 0 THEN 'submissive' ELSE 'dominant' END AS one, CASE WHEN p_partkey % 2 = 0 THEN 'submissive' ELSE 'dominant' END AS two FROM part)"""
 
 
-@query(f"SELECT t || ' ' || p_partkey AS title, nullif(b, '') AS bot, nullif(u, '') AS \"user\" FROM part, (VALUES {ROLES}) x(t, b, u)")
+@query(f"""WITH {TITLED} SELECT p_partkey, CASE WHEN kind IN (0, 2, 5) THEN one WHEN kind = 3 THEN two WHEN kind = 4 AND one = two THEN one END AS bot,
+CASE WHEN kind IN (1, 3, 7) THEN one END AS "user" FROM titled""")
 def title_roles(t: Tables) -> DataFrame:
-    texts = ("the dom bot", "sub user with a dominant character", "You are: a submissive", "your very dominant teacher", "dom bot or sub bot", "nothing here", "for a sub user")
-    titles = t.part.select(F.explode(F.array(*(F.concat(F.lit(x), F.lit(" "), "p_partkey") for x in texts))).alias("title"))
-    return titles.select("title", *(c.alias(side) for side, c in cleaning.title_roles(F.col("title")).items()))
+    one, two = F.col("p_size") % 3 == 0, F.col("p_partkey") % 2 == 0
+    short = lambda sub: F.when(sub, "Sub").otherwise("DOM")
+    long = lambda sub: F.when(sub, "submissive").otherwise("Dominant")
+    wide = F.translate(short(one), "SubDOM", "ＳｕｂＤＯＭ")
+    wordings = [
+        F.concat(F.col("p_name"), F.lit(" | "), short(one), F.lit(" bot")),
+        F.concat(F.col("p_name"), F.lit(": you are a "), long(one), F.lit("!")),
+        F.concat(F.lit("Your very "), long(one), F.lit(" boss, "), F.col("p_name")),
+        F.concat(short(one), F.lit(" users — "), F.col("p_name"), F.lit(" and a "), long(two), F.lit(" character")),
+        F.concat(short(one), F.lit(" AI or "), short(two), F.lit("-bot")),
+        F.concat(wide, F.lit(" bot of "), F.col("p_name")),
+        F.concat(short(one), F.lit(", bot ("), F.col("p_name"), F.lit(") your "), long(one), F.lit(" side")),
+        F.concat(F.lit("{{ User }} as the "), long(one), F.lit(" "), F.col("p_name")),
+    ]
+    title = F.lit("")
+    for i, w in enumerate(wordings):
+        title = F.when(F.col("p_size") % 8 == i, w).otherwise(title)
+    titles = t.part.select("p_partkey", title.alias("title"))
+    return titles.select("p_partkey", *(c.alias(side) for side, c in roles.title_roles(F.col("title")).items()))
 
 
 @query("SELECT event_id, strftime(max(s), '%Y-%m-%d %H:%M') AS slot FROM events, (SELECT CAST(range AS TIMESTAMP) + INTERVAL 137 MINUTES AS s FROM range(DATE '2023-12-01', DATE '2024-03-01', INTERVAL 1 DAY)) WHERE isodow(s) IN (1, 3, 5) AND s <= ts GROUP BY 1")
@@ -156,16 +177,17 @@ def circuit_breaker(t: Tables) -> DataFrame:
     return guards.until_tripped(views.runs(t), "run_at", F.col("errors") > 20).select("run_at")
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS expected, (SELECT count(*) FROM labels) AS indexed, false AS complete")
+@query("""SELECT 'ids' AS name, count(*) AS expected, count(DISTINCT doc_id) AS indexed, count(*) = count(DISTINCT doc_id) AS complete FROM documents
+UNION ALL SELECT 'labels', e, i, e = i FROM (SELECT count(*) AS e FROM documents), (SELECT count(*) AS i FROM labels)""")
 def index_complete(t: Tables) -> DataFrame:
-    return guards.completeness(t.documents, t.labels)
+    """All documents have an id of their own; only some have labels."""
+    own = lambda name, index: guards.completeness(t.documents, index).select(F.lit(name).alias("name"), "*")
+    return own("ids", t.documents.select("doc_id").distinct()).unionByName(own("labels", t.labels))
 
 
-@query("SELECT c_mktsegment AS bucket, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS keys FROM (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 20) GROUP BY 1")
+@query("SELECT c_mktsegment AS bucket, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS keys FROM customer GROUP BY 1, c_nationkey")
 def keyed_shards(t: Tables) -> DataFrame:
-    first = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    own = t.customer.withColumn("nth", F.row_number().over(first)).where("nth <= 20")
-    shard = own.groupBy(F.col("c_mktsegment").alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey"), F.col("c_acctbal")))).alias("m"))
+    shard = t.customer.groupBy(F.col("c_mktsegment").alias("bucket"), "c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey"), F.col("c_acctbal")))).alias("m"))
     return shard.select("bucket", F.size("m").cast("bigint").alias("n"), F.array_join(F.transform(F.array_sort(F.map_keys("m")), lambda k: k.cast("string")), ",").alias("keys"))
 
 
@@ -188,7 +210,9 @@ def nested_exists(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, event_type AS leaf FROM events")
 def path_leaves(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.element_at(F.split(F.concat(F.lit("a.b."), "event_type"), r"\."), -1).alias("leaf"))
+    """Paths of one to three steps."""
+    path = F.concat(F.when(F.col("value") > 50, "fields.").otherwise(""), F.when(F.col("props").contains("1"), "a-b.").otherwise(""), "event_type")
+    return t.events.select("event_id", leaf(path).alias("leaf"))
 
 
 @query(f"WITH {views.OBS} SELECT pos FROM obs WHERE path IN ('view', 'click') AND source = 'api' AND day >= DATE '2024-01-10' AND contains(lower(path || ' ' || source), 'c')")
@@ -222,12 +246,11 @@ def coverage_valid(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", guards.coverage_valid(own["indexed"], own["total"], own["nations"] < 20).alias("valid"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND url LIKE 'https://%' AND length(url) <= 2048 THEN url ELSE 'https://safe.test/' || page_id END AS image FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ftp://img.test/' || page_id WHEN url IS NOT NULL AND trim(url) <> '' AND length(url) <= 2048 AND NOT regexp_matches(lower(url), '^(javascript|data|file|blob):') THEN trim(url) ELSE 'img/' || page_id END AS image FROM pages")
 def image_choice(t: Tables) -> DataFrame:
-    from recordlake.functions.values import safe_https
-
-    candidates = [F.lit("data:image/png;base64,AA"), F.when(F.col("page_id") % 2 == 0, F.col("url")), F.concat(F.lit("https://safe.test/"), "page_id")]
-    return t.pages.select("page_id", F.coalesce(*(F.when(safe_https(c), c) for c in candidates)).alias("image"))
+    """Any scheme but the refused ones will do, and relative references too."""
+    candidates = (F.lit(" DATA:image/png;base64,AA"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" ftp://img.test/"), "page_id")), F.repeat(F.lit("x"), F.lit(2049)), F.col("url"), F.concat(F.lit("img/"), "page_id"))
+    return t.pages.select("page_id", cleaning.image_reference(*candidates).alias("image"))
 
 
 @query("SELECT p_partkey, lower(trim(p_name)) AS label, 'brand ' || substr(p_brand, 7) AS canonical, contains(' brand ' || substr(p_brand, 7) || ' ', ' 7 ') AS seven FROM part")
@@ -239,12 +262,13 @@ def registered_functions(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.expr("rl_norm_label(p_name)").alias("label"), own.alias("canonical"), F.expr("rl_phrase_in(rl_canonical(p_brand), '7')").alias("seven"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS shape FROM events WHERE event_type <> 'error'")
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_type AS shape FROM events")
 def upload_containers(t: Tables) -> DataFrame:
+    """Errors hold two containers, of which the earlier key counts, and a scalar under a still earlier one, which doesn't hide it."""
     from recordlake.sources.uploads import contained
 
-    row = F.concat(F.lit('{"snapshot":{"data":'), "props", F.lit("}}"))
-    shapes = {"view": ('{"savedCopies":[', "]}"), "click": ('{"bots":{"a":', "}}"), "signup": ("[", "]"), "purchase": ("", "")}
+    row = F.concat(F.lit('{"record":{"savedCopy":'), "props", F.lit("}}"))
+    shapes = {"view": ('{"savedCopies":[', "]}"), "click": ('{"bots":{"a":', "}}"), "signup": ("[", "]"), "purchase": ('{"id":1,"snapshot":', "}"), "error": ('{"snapshots":[', '],"bots":[{"k":-1}],"savedCopies":7}')}
     text = F.lit("not json")
     for kind, (before, after) in shapes.items():
         text = F.when(F.col("event_type") == kind, F.concat(F.lit(before), row, F.lit(after))).otherwise(text)

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed keys under which an export may hold its rows, and a row its payload; the first that is there counts.
-CONTAINERS = ("savedCopies", "snapshots", "bots", "items", "records")
-WRAPPERS = ("snapshot", "data", "character", "bot", "fields")
+#: Fixed keys under which an export may hold its rows, and a row its payload, in the order in which they count; and keys that make an export a row itself.
+CONTAINERS = ("savedCopies", "bots", "records", "items", "snapshots")
+WRAPPERS = ("snapshot", "savedCopy", "character", "bot", "record")
+ROW_IDS = ("character_id", "characterId", "botId", "id")
+#: Fixed number of wrappers that are looked through.
+DEPTH = 4
 MAGIC = b"\x1f\x8b"
 
 
@@ -33,21 +36,28 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("text"))
 
 
-def unwrapped(v: Column, depth: int = 4) -> Column:
+def _inner(v: Column, key: str, *kinds: str) -> Column:
+    """What a variant holds under a key, if it is of one of the kinds."""
+    x = F.try_variant_get(v, f"$.{key}", "variant")
+    kind = F.schema_of_variant(x)
+    return F.when(F.coalesce(*(F.when(kind.startswith(k), True) for k in kinds), F.lit(False)), x)
+
+
+def unwrapped(v: Column, depth: int = DEPTH) -> Column:
     """The payload below up to `depth` wrappers: the first wrapper key that holds an object, else the value itself."""
     for _ in range(depth):
-        inner = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).startswith("OBJECT"), F.try_variant_get(v, f"$.{k}", "variant")) for k in WRAPPERS]
-        v = F.coalesce(*inner, v)
+        v = F.coalesce(*(_inner(v, k, "OBJECT") for k in WRAPPERS), v)
     return v
 
 
 def contained(uploads: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of `uploads` with pos, payload: an export's rows, whether it is a list, has one of CONTAINERS (a list or map), or is one row."""
+    """The columns of `uploads` with pos, payload: the rows of a list, or of the first of CONTAINERS that is a list or map; an object with an id is one row."""
     keep = [c for c in uploads.columns if c != text]
-    v = F.col("v")
-    found = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant") for k in CONTAINERS), v)
-    own = uploads.select(*keep, F.try_parse_json(text).alias("v")).where("v is not null").select(*keep, found.alias("c"), (~F.schema_of_variant(v).startswith("ARRAY") & F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant") for k in CONTAINERS)).isNull()).alias("single"))
-    listed = F.try_variant_get("c", "$", "array<variant>")
-    mapped = F.map_values(F.try_variant_get("c", "$", "map<string,variant>"))
-    rows = F.when(F.col("single"), F.array("c")).otherwise(F.coalesce(listed, mapped))
+    v, kind = F.col("v"), F.schema_of_variant("v")
+    own = uploads.select(*keep, F.try_parse_json(text).alias("v")).where("v is not null")
+    held = F.coalesce(F.when(kind.startswith("ARRAY"), v), *(_inner(v, k, "ARRAY", "OBJECT") for k in CONTAINERS))
+    has_id = F.coalesce(*(F.when(F.try_variant_get(v, f"$.{k}", "variant").isNotNull(), True) for k in ROW_IDS), F.lit(False))
+    own = own.select(*keep, "v", held.alias("c"), has_id.alias("single"))
+    rows = F.coalesce(F.try_variant_get("c", "$", "array<variant>"), F.map_values(F.try_variant_get("c", "$", "map<string,variant>")))
+    rows = F.when(F.col("c").isNotNull(), rows).when(F.col("single"), F.array("v"))
     return own.select(*keep, F.posexplode(rows).alias("pos", "row")).select(*keep, "pos", unwrapped(F.col("row")).alias("payload"))

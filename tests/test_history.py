@@ -4,7 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from recordlake.functions import cleaning
+from recordlake.functions import cleaning, roles
 from recordlake.functions.sql import register
 from recordlake.operators import guards, history, reviews
 from recordlake.sources import uploads
@@ -61,13 +61,48 @@ def test_scalars(spark):
     assert [value(cleaning.guarded_int(F.lit(x), 0, 9)) for x in ("7.9", "-3", "99", "x", None, "NaN")] == [7, 0, 9, None, None, None]
     now = F.expr("TIMESTAMP '2024-03-01 12:00:00'")
     ages = ("2024-03-01 11:00:00", "2024-02-28 12:00:00", "2023-12-01 12:00:00")
-    assert [value(cleaning.age_text(F.expr(f"TIMESTAMP '{x}'"), now)) for x in ages] == ["1 hour", "2 days", "2 months"]
+    assert [value(cleaning.age_text(F.expr(f"TIMESTAMP '{x}'"), now)) for x in ages] == ["1 hours", "2 days", "3.0 months"]
+    assert value(cleaning.age_text(F.expr("TIMESTAMP '2024-03-01 11:59:00'"), now)) == "1 hours" and value(cleaning.age_text(F.expr("TIMESTAMP '2025-01-01 00:00:00'"), now)) == "1 hours"
+    assert value(cleaning.age_text(F.expr("TIMESTAMP '2024-01-01 12:00:01'"), now)) == "59 days" and value(cleaning.age_text(F.lit(None).cast("timestamp"), now)) == "Unknown"
     assert str(value(cleaning.latest_slot(now, (0, 2, 4), 2, 17))) == "2024-03-01 02:17:00"
-    roles = {side: value(c) for side, c in cleaning.title_roles(F.lit("Your dom boss | sub users")).items()}
-    assert roles == {"bot": "dominant", "user": "submissive"}
     assert register(spark) == register(spark) and spark.sql("SELECT rl_canonical('A--b') AS x").head().x == "a b"
 
 
+def test_title_roles(spark):
+    cases = {
+        "Your dom boss | sub users": ("dominant", "submissive"),
+        "dom bot or sub bot": (None, None),
+        "Dominant character, submissive user": ("dominant", "submissive"),
+        "the bot is a dominant": ("dominant", None),
+        "You are the sub": (None, "submissive"),
+        "you're an domme": (None, "dominant"),
+        "{{ user }} as sub": (None, "submissive"),
+        "for a dominant user": (None, "dominant"),
+        "your super submissive wife": ("submissive", None),
+        "your submissive side": (None, None),
+        "dom, bot": (None, None),
+        "(dom) bot (sub bot)": ("submissive", None),
+        "ＤＯＭ ｂｏｔ": ("dominant", None),
+        "subway bots and kingdom users": (None, None),
+        "dom!bot": ("dominant", None),
+        "": (None, None),
+        None: (None, None),
+    }
+    titles = spark.createDataFrame([(t,) for t in cases], "title string")
+    assert {r.title: (r.bot, r.user) for r in titles.select("title", *(c.alias(side) for side, c in roles.title_roles(F.col("title")).items())).collect()} == cases
+
+
+def test_scripts_images(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).head().x
+    foreign = {"plain text": False, "naïve": True, "×÷": False, "Ω": False, "Ωω": True, "日本": True, "한국": True, "привет": True, "ไทย": True, "": False}
+    assert {t: value(cleaning.may_need_translation(F.lit(t))) for t in foreign} == foreign
+    assert value(cleaning.may_need_translation(F.lit("plain"), F.array(F.lit("Non-English"))))
+    pick = lambda *urls: value(cleaning.image_reference(*(F.lit(u) for u in urls)))
+    assert pick(None, " ", "JavaScript:x", "data:,", "file:/a", "blob:b", " ftp://x ") == "ftp://x"
+    assert pick("x" * 2049, "x" * 2048) == "x" * 2048 and pick("data:") == ""
+
+
 def test_hysteresis_and_budget(spark):
     runs = spark.createDataFrame([(i, v) for i, v in enumerate([3, 9, 6, 4, 6, 9])], "run int, n int")
     assert [r.paused for r in guards.hysteresis(runs, "run", "n", 8, 5).orderBy("run").collect()] == [False, True, True, False, False, True]
@@ -76,9 +111,11 @@ def test_hysteresis_and_budget(spark):
 
 
 def test_uploads_plain_and_compressed(spark, tmp_path):
-    (tmp_path / "a.json").write_bytes(b'{"snapshots":[{"data":{"k":1}},{"k":2}]}')
+    (tmp_path / "a.json").write_bytes(b'{"snapshots":[{"record":{"k":1}},{"k":2,"data":{"k":7}}]}')
     (tmp_path / "b.json.gz").write_bytes(gzip.compress(b'[{"snapshot":{"bot":{"k":3}}}]'))
     (tmp_path / "c.bin").write_bytes(b"\x1f\x8bbroken")
-    (tmp_path / "d.json").write_bytes(b'{"k":4}')
+    (tmp_path / "d.json").write_bytes(b'{"id":"x","k":4}')
+    (tmp_path / "e.json").write_bytes(b'{"k":5}')
+    (tmp_path / "f.json").write_bytes(b'{"snapshots":[{"k":8}],"records":{"a":{"savedCopy":{"k":6}}},"bots":"no list"}')
     rows = uploads.contained(uploads.read_uploads(spark, str(tmp_path)))
-    assert sorted(r.k for r in rows.select(F.try_variant_get("payload", "$.k", "int").alias("k")).collect()) == [1, 2, 3, 4]
+    assert sorted(r.k for r in rows.select(F.try_variant_get("payload", "$.k", "int").alias("k")).collect()) == [1, 2, 3, 4, 6]
