@@ -85,17 +85,19 @@ def standing(text: Column, found: Column, denied: dict[int, tuple[str | None, st
     return F.filter(found, keep)
 
 
+def _placed(text: Column, found: Column, nth: int, field: str, by_rank: dict) -> Column:
+    """The standing hits of one field, with its number and name and what was matched."""
+    matched = lambda h: F.left(F.substring(text, h["start"] + 1, h["length"]), F.lit(BEFORE))
+    return F.transform(standing(text, found, by_rank), lambda h: F.struct(h["rank"].alias("rank"), F.lit(nth).alias("nth"), h["start"].alias("start"), F.lit(field).alias("field"), matched(h).alias("matched")))
+
+
 def review_signals(records: DataFrame, fields: list[str], rules: list[tuple[str, str]], denied: dict[str, tuple[str | None, str | None]]) -> DataFrame:
     """id, rule, field, matched: of each rule (named in pairs of rule and phrase, in order) the first standing hit, in the fields' order."""
     names = list(dict.fromkeys(r for r, _ in rules))
     run = hits([(names.index(r), p) for r, p in rules])
     by_rank = {names.index(r): d for r, d in denied.items()}
     own = records.select("id", *fields, *(run(F.coalesce(F.col(f), F.lit(""))).alias(f"hits_{i}") for i, f in enumerate(fields)))
-    each = []
-    for i, f in enumerate(fields):
-        text = F.coalesce(F.col(f), F.lit(""))
-        cut = lambda h, text=text: F.left(F.substring(text, h["start"] + 1, h["length"]), F.lit(BEFORE))
-        each.append(F.transform(standing(text, F.col(f"hits_{i}"), by_rank), lambda h, i=i, f=f, cut=cut: F.struct(h["rank"].alias("rank"), F.lit(i).alias("nth"), h["start"].alias("start"), F.lit(f).alias("field"), cut(h).alias("matched"))))
+    each = [_placed(F.coalesce(F.col(f), F.lit("")), F.col(f"hits_{i}"), i, f, by_rank) for i, f in enumerate(fields)]
     # Of one place the shorter text comes first; per rule the least by field and place counts.
     rows = own.select("id", F.explode(F.concat(*each)).alias("h"))
     first = rows.groupBy("id", "h.rank").agg(F.min(F.struct("h.nth", "h.start", "h.field", "h.matched")).alias("m"))

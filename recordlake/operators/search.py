@@ -6,6 +6,7 @@ passes. It is four whole numbers beside the id: the first phase reads 40 bytes a
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,24 +44,20 @@ def positions(token: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(_START), lambda s, i: _step(s, F.substring(token, i, F.lit(1))))
 
 
-def signature(text: Column) -> list[Column]:
-    """w0 to w3 of one text."""
-    placed = F.transform(tokens(text), positions)
-    bit = lambda p, s: F.shiftright(p, _LANE * s).bitwiseAND(F.lit(0xFF))
-    one = lambda p, w: F.when(F.shiftright(p, 6) == w, F.shiftleft(F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    fold = lambda w: F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, p: reduce(lambda x, s: x.bitwiseOR(one(bit(p, s), w)), range(SEEDS), a))
-    return [fold(w).alias(NAMES[w]) for w in range(WORDS)]
-
-
 def signatures(values: DataFrame) -> DataFrame:
-    """id and w0 to w3 over all values (id, value) of a record, current and former ones; null and empty values add nothing."""
-    own = values.select("id", *signature(F.coalesce("value", F.lit(""))))
-    return own.groupBy("id").agg(*(F.bit_or(w).alias(w) for w in NAMES))
+    """id and w0 to w3 over all values (id, value) of a record, current and former ones; null and empty values add nothing.
 
+    A token's places are found once a text; its bits are then set by a grouped `bit_or`, aggregated before it is shuffled.
+    """
+    places = F.array_distinct(F.transform(tokens(F.coalesce("value", F.lit(""))), positions))
+    own = values.select("id", F.explode_outer(places).alias("p"))
+    bit = lambda s: F.shiftright("p", _LANE * s).bitwiseAND(F.lit(0xFF))
+    one = lambda b, w: F.when(F.shiftright(b, 6) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), b.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    words = (F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), (one(bit(s), w) for s in range(SEEDS)))).alias(NAMES[w]) for w in range(WORDS))
+    return own.groupBy("id").agg(*words)
 
-def query_tokens(query: str) -> list[str]:
-    import re
 
+def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(t.replace("’", "'") for t in re.findall(TOKEN, query.lower())))
 
 
@@ -86,10 +83,12 @@ def search(signed: DataFrame, values: DataFrame, query: str, exact: bool = False
     Each token must stand somewhere in some value, or with `exact` the query as it is, without regard to case, in one value.
     """
     own = candidates(signed, query).drop(*NAMES)
+    if not query_tokens(query):
+        return own
     texts = values.join(own.select("id"), "id", "left_semi").select("id", F.lower("value").alias("v"))
     needles = [query.lower()] if exact else query_tokens(query)
     found = texts.groupBy("id").agg(*(F.bool_or(F.coalesce(F.contains("v", F.lit(n)), F.lit(False))).alias(f"has_{i}") for i, n in enumerate(needles)))
-    whole = reduce(lambda a, b: a & b, (F.col(f"has_{i}") for i in range(len(needles))), F.lit(bool(needles)))
+    whole = reduce(lambda a, b: a & b, (F.col(f"has_{i}") for i in range(len(needles))))
     return own.join(found.where(whole).select("id"), "id", "left_semi")
 
 
