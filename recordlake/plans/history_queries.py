@@ -256,19 +256,6 @@ def tags_by_taxonomy(t: Tables) -> DataFrame:
     return reviews.grouped_by_taxonomy(t.part.groupBy(F.col("p_brand").alias("label")).agg(F.count(F.lit(1)).alias("n")), taxonomy)
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS status_since, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS nth FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 500")
-def deleted_index(t: Tables) -> DataFrame:
-    newest = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(500)
-    nth = F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey"))  # 500 rows
-    return newest.select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("status_since"), nth.alias("nth"))
-
-
-@query("SELECT CAST(o_orderkey % 16 AS BIGINT) AS shard, o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1, 2")
-def materialized_catalog(t: Tables) -> DataFrame:
-    own = t.orders.groupBy((F.col("o_orderkey") % 16).cast("bigint").alias("shard"), F.col("o_orderstatus").alias("status"))
-    return own.agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
-
-
 @query("SELECT event_type, count(*) = count(DISTINCT event_id) AS complete, count(*) - count(DISTINCT user_id) AS repeats FROM events GROUP BY 1")
 def paged_export_check(t: Tables) -> DataFrame:
     own = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"), F.count_distinct("user_id").alias("users"))
