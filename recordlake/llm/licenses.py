@@ -1,17 +1,16 @@
-"""License scans by an exact set-similarity join of text blocks with license templates.
-
-A block meets a template if it holds at least `threshold` of the template's distinct words. Blocks are sentences, and
-stretches of words, whatever lines and sentences they run over, as long as the template divided by the threshold.
-Template words are ordered by how many documents of the corpus hold them, rarest first, and a block's words are put in that
-order too. A block that meets a template holds a word of the template's prefix in that order. Length: a block with
-too few listed words meets none. Position: what is matched so far and what follows the shared word on both sides bounds
-the overlap still possible. What is left is verified.
+"""License scans by an exact set-similarity join of stretches of text with license templates.
+
+A stretch of words, whatever lines and sentences it runs over, meets a template if it holds at least `threshold` of the template's
+distinct words, is no longer than the template divided by the threshold, holds no word by which another license is told, and those by
+which the template's own is told stand where they do in the template (`CC BY-NC` holds all words of `CC BY`, and most of `CC BY-NC-SA`). Template words are ordered by how many documents of the corpus hold them, rarest first, and
+a text's words are put in that order too. A text with a stretch that meets a template holds a word of the template's prefix in
+that order. Length: a text with too few listed words meets none. Position: what is matched so far and what follows the shared
+word on both sides bounds the overlap still possible. What is left is verified stretch by stretch.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,13 +32,23 @@ TEMPLATES = (
     ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
     ("GNU Lesser General Public License", "lgpl"),
+    ("GNU Library General Public License", "lgpl"),
     ("GNU Affero General Public License", "agpl"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("Mozilla Public License, Version 2.0", "mpl"),
     ("Licensed under CC BY 4.0.", "cc-by"),
     ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
     ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"),
+    ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl"),
     ("All rights reserved.", "all-rights-reserved"),
     (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -70,10 +79,22 @@ TEMPLATES = (
         "gpl",
     ),
 )
+_SHARE, _TRADE, _CHANGE = ("sa", "sharealike"), ("nc", "noncommercial"), ("nd", "noderivatives", "noderivs")
+#: Words by which another license than a template's own is told; no stretch that meets the template holds one.
+WITHOUT = {
+    "cc-by": (*_SHARE, *_TRADE, *_CHANGE),
+    "cc-by-sa": (*_TRADE, *_CHANGE),
+    "cc-by-nc": (*_SHARE, *_CHANGE),
+    "cc-by-nd": (*_SHARE, *_TRADE),
+    "cc-by-nc-sa": _CHANGE,
+    "cc-by-nc-nd": _SHARE,
+    "gpl": ("lesser", "library", "affero"),
+    "lgpl": ("affero",),
+    "agpl": ("lesser", "library"),
+}
 THRESHOLD = 0.9
 #: Bound of what is broadcast at a time: words of templates. A longer list is met in several passes over the documents.
 PASS_WORDS = 200_000
-_BLOCK = re.compile(r"\n|(?<=[.!?;])[ \t\x0b\f\r]+")
 
 
 @dataclass
@@ -82,6 +103,8 @@ class Template:
     label: str
     need: int
     span: int  # words of text, of whatever lines and sentences, that may hold the template
+    without: frozenset[bytes]
+    behind: dict[bytes, set[bytes]]  # own words that tell the license from others, and what stands before them
 
     @property
     def prefix(self) -> list[bytes]:
@@ -98,15 +121,18 @@ class Templates:
     starts: set[bytes]
 
 
-def prepare(templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float) -> Templates:
+def prepare(templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float, without: dict[str, tuple[str, ...]] | None = None) -> Templates:
     words = sorted({w for text, _ in templates for w in alnum_words(text)}, key=lambda w: (frequency.get(w, 0), w))
     order = {w: i for i, w in enumerate(words)}
+    telling = {w.encode() for words_ in (without or {}).values() for w in words_}
     made, index = [], {}
     for text, label in templates:
         every = alnum_words(text)
         own = sorted(set(every), key=order.__getitem__)
         if own:
-            t = Template(own, label, max(1, math.ceil(threshold * len(own) - 1e-9)), math.ceil(len(every) / threshold - 1e-9))
+            barred = frozenset(w.encode() for w in (without or {}).get(label, ())) - set(own)
+            behind = {w: {b for a, b in zip(every[1:], every, strict=False) if a == w} for w in telling.intersection(own)}
+            t = Template(own, label, max(1, math.ceil(threshold * len(own) - 1e-9)), math.ceil(len(every) / threshold - 1e-9), barred, behind)
             for place, w in enumerate(t.prefix):
                 index.setdefault(order[w], []).append((len(made), place))
             made.append(t)
@@ -143,22 +169,26 @@ def join_block(words: Iterable[bytes], templates: Templates, tally: Counter | No
                 yield t, held / len(t.words)
 
 
-def join_spans(words: list[bytes], templates: Templates) -> Iterator[tuple[Template, float]]:
-    """Templates that some stretch of `span` words meets, wherever lines and sentences end, with their best containment."""
+def join_spans(words: list[bytes], templates: Templates) -> Iterator[tuple[Template, int, int]]:
+    """Templates that some stretch of `span` words meets, wherever lines and sentences end, with the first of those that hold most: its distinct words and its first word's place."""
     for t, _ in join_block(words, templates):
         wanted, held = set(t.words), dict.fromkeys(t.words, 0)
-        at = [i for i, w in enumerate(words) if w in wanted]
-        first = distinct = best = 0
-        for i in at:
+        at = [i for i, w in enumerate(words) if w in t.without or (w in wanted and (w not in t.behind or (i and words[i - 1] in t.behind[w])))]
+        first = distinct = best = start = 0
+        for j, i in enumerate(at):
+            if words[i] in t.without:
+                held, distinct, first = dict.fromkeys(t.words, 0), 0, j + 1
+                continue
             distinct += not held[words[i]]
             held[words[i]] += 1
             while at[first] <= i - t.span:
                 held[words[at[first]]] -= 1
                 distinct -= not held[words[at[first]]]
                 first += 1
-            best = max(best, distinct)
+            if distinct > best and all(held[w] for w in t.behind):
+                best, start = distinct, at[first]
         if best >= t.need:
-            yield t, best / len(t.words)
+            yield t, best, start
 
 
 def passes(templates: list[tuple[str, str]], bound: int) -> list[list[tuple[str, str]]]:
@@ -201,14 +231,13 @@ def places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[t
     return found
 
 
-BLOCKS = "blocks array<struct<number:bigint,label:string,containment:double>>"
+BLOCKS = "blocks array<struct<first:bigint,label:string,containment:double>>"
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: tuple[tuple[str, str], ...] = BASE, threshold: float = THRESHOLD, pass_words: int = PASS_WORDS) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (number, label, containment).
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: tuple[tuple[str, str], ...] = BASE, threshold: float = THRESHOLD, pass_words: int = PASS_WORDS, without: dict[str, tuple[str, ...]] = WITHOUT) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (first word, label, containment).
 
-    Blocks are sentences, numbered from 0: lines, cut behind `.`, `!`, `?` and `;` with white space; and stretches of words, without a
-    number. score is 1 with a base phrase, else the best containment, else 0. Null or empty texts have no words, labels ''
+    A block is the stretch that holds most of a template it meets. score is 1 with a base phrase, else the best containment, else 0. Null or empty texts have no words, labels ''
     and score 0. Repeated rows are each scanned; other columns are left out, whatever their names. Templates
     are broadcast in parts of `pass_words` words, one at a time; what they meet is written between the passes.
     """
@@ -216,7 +245,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
     parts = passes(list(templates if templates is not None else TEMPLATES), pass_words)
     rows = documents(docs)
     for i, part in enumerate(parts):
-        ready = prepare(part, word_frequency(docs, {w for text, _ in part for w in alnum_words(text)}), threshold)
+        ready = prepare(part, word_frequency(docs, {w for text, _ in part for w in alnum_words(text)}), threshold, without)
         shared = docs.sparkSession.sparkContext.broadcast(ready)
         if i < len(parts) - 1:
             rows = cut(rows.mapInPandas(_meet(shared), f"doc_id bigint, text string, {BLOCKS}"))
@@ -225,12 +254,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
     return rows.mapInPandas(_report(shared, phrases), columns + BLOCKS)
 
 
-def _found(text: str, words: list[bytes], templates: Templates) -> list[dict]:
+def _found(words: list[bytes], templates: Templates) -> list[dict]:
     if templates.starts.isdisjoint(words):
         return []
-    met = [(number, t.label, share) for number, block in enumerate(_BLOCK.split(text)) for t, share in join_block(alnum_words(block), templates)]
-    met += [(None, t.label, share) for t, share in join_spans(words, templates)]
-    return [{"number": n, "label": label, "containment": share} for n, label, share in met]
+    return [{"first": start, "label": t.label, "containment": held / len(t.words)} for t, held, start in join_spans(words, templates)]
 
 
 def _before(f: pd.DataFrame) -> list[list[dict]]:
@@ -241,7 +268,7 @@ def _before(f: pd.DataFrame) -> list[list[dict]]:
 def _meet(shared):  # noqa: ANN001, ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in slices(frames, 1024):
-            blocks = [b + _found(t, alnum_words(t), shared.value) for t, b in zip(f["text"], _before(f), strict=True)]
+            blocks = [b + _found(alnum_words(t), shared.value) for t, b in zip(f["text"], _before(f), strict=True)]
             yield pd.DataFrame({"doc_id": nullable_ints(f["doc_id"]), "text": f["text"], "blocks": blocks})
 
     return run
@@ -256,7 +283,7 @@ def _report(shared, phrases: list[tuple[list[bytes], str]]):  # noqa: ANN001, AN
             for doc_id, text, before in zip(f["doc_id"], f["text"], _before(f), strict=True):
                 words = alnum_words(text)
                 own = places(words, phrases)
-                blocks = before + _found(text, words, shared.value)
+                blocks = before + _found(words, shared.value)
                 at = [a for a, _ in own]
                 base_labels = {label for _, label in own}
                 labels = base_labels | {b["label"] for b in blocks}

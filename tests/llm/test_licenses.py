@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import math
 import random
-import re
 from collections import Counter
 
 from recordlake.llm import licenses, queries
@@ -10,19 +9,28 @@ from recordlake.llm import licenses, queries
 from . import brute
 
 
-def brute_scan(docs, templates, threshold):
+def brute_scan(docs, templates, threshold, without=licenses.WITHOUT):
+    """From the words alone: every stretch of a template's length, parted at words of other licenses."""
     phrases = [(p.split(), label) for p, label in licenses.BASE]
-    ready = [(set(w), math.ceil(len(w) / threshold - 1e-9), label) for t, label in templates for w in [brute.alnum(t)]]
+    telling = {x for own in without.values() for x in own}
+    ready = [(w, math.ceil(len(w) / threshold - 1e-9), label) for t, label in templates for w in [brute.alnum(t)]]
     out = {}
     for doc_id, text in docs:
         w = brute.alnum(text)
         base = [(i, label) for p, label in phrases for i in range(len(w)) if w[i : i + len(p)] == p]
-        sentences = [set(brute.alnum(b)) for b in re.split(r"\n|(?<=[.!?;])[ \t\x0b\f\r]+", text or "")]
         met = []
-        for words, span, label in ready:
-            for own in sentences + [set(w[i : i + span]) for i in range(len(w))]:
-                if len(own & words) >= max(1, math.ceil(threshold * len(words) - 1e-9)):
-                    met.append((label, len(own & words) / len(words)))
+        for every, span, label in ready:
+            words, pairs = set(every), set(zip(every, every[1:], strict=False))
+            barred, parts = set(without.get(label, ())) - words, [[]]
+            for i, x in enumerate(w):
+                if x in barred:
+                    parts.append([])
+                else:
+                    parts[-1].append(x if x not in telling or x not in words or (i and (w[i - 1], x) in pairs) else "")
+            for part in parts:
+                for own in (set(part[i : i + span]) for i in range(len(part))):
+                    if len(own & words) >= max(1, math.ceil(threshold * len(words) - 1e-9)) and own >= words & telling:
+                        met.append((label, len(own & words) / len(words)))
         at = [i for i, _ in base]
         own_labels = sorted({x for _, x in base})
         score = 1.0 if base else max((s for _, s in met), default=0.0)
@@ -66,6 +74,24 @@ def test_equal_to_brute_force(spark):
     assert licenses.op5_license_scan(d.limit(0)).count() == 0
 
 
+def test_a_license_within_another_is_not_its_own(spark):
+    cases = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "licensed under cc by-nd 4.0": "cc-by-nd",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+        "Licensed under CC BY-NC-ND 4.0, text. Licensed under CC BY 4.0": "cc-by,cc-by-nc-nd",
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl",  # gpl by its base phrase
+        "This work is licensed under the GNU Affero General-Public, License, version 3.": "agpl,gpl",
+        "nc Licensed under CC BY 4.0. nd": "cc-by",
+        " ".join(["All", *["word"] * 6000, "rights", *["word"] * 3, "reserved"]): "",
+    }
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    assert {x.doc_id: x.labels for x in licenses.op5_license_scan(d).collect()} == dict(enumerate(cases.values()))
+
+
 def test_a_list_beyond_the_bound_takes_several_passes(spark):
     docs = documents()[:60]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
