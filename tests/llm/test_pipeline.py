@@ -96,3 +96,20 @@ def test_quality_base_counts(spark):
     got = {x.doc_id: tuple(x)[1:7] for x in quality.op7_quality(d).collect()}
     assert got == {i: brute_quality(t) for i, t in enumerate(texts)}
     assert quality.op7_quality(d.limit(0)).count() == 0
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Helpers' names as columns of the documents change nothing and come out as they went in."""
+    r = random.Random(4)
+    spark.createDataFrame([(1, prose(r, 12))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["row_hash", "row", "carry_0", "kept", "clean_text", "text_key", "node", "component", "key", "root", "n_words", "lines", "w", "part", "id", "words", "hit", "start"]
+    texts = [prose(r, 120) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t), *([f"c{i}"] * len(names))) for i, t in enumerate([*texts, texts[0]])], SCHEMA + "".join(f", {n} string" for n in names))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, docs, str(tmp_path)), stage(spark, plain, str(tmp_path))
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert sorted((x.doc_id, x.text, x.n_chars) for x in rows) == sorted((x.doc_id, x.text, x.n_chars) for x in want.collect())
+        assert all(x[n] == f"c{x.doc_id}" for x in rows for n in names)
+    assert stages.packed_sequences(spark, docs, str(tmp_path)).count() == stages.packed_sequences(spark, plain, str(tmp_path)).count()
