@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import by_key, cut, documents, drop, nullable_ints, slices, space_words
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
+#: Links, of 16 bytes each, that one task may join.
+SMALL_LINKS = 1_000_000
 #: Fingerprints of a bucket that are compared as one block; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
 #: Fingerprints that a bucket should hold on average.

@@ -57,3 +57,22 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 100)] + [(500, i) for i in range(501, 700)] + [(900, 901), (901, 900), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(1, 101)} | {i: 500 for i in range(501, 700)} | {901: 900}
+
+
+def test_components_by_one_task_and_by_stars(spark, monkeypatch):
+    r = random.Random(7)
+    edges = [(r.randrange(-(1 << 63), 1 << 63) if r.random() < 0.1 else r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1300)] + [(5, 5)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(len(label)):
+        new = dict(label)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    want = {(x, y) for x, y in label.items() if x != y}
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    assert {tuple(x) for x in simhash.components(table).collect()} == want
+    monkeypatch.setattr(simhash, "SMALL_LINKS", 10)
+    assert {tuple(x) for x in simhash.components(table).collect()} == want
+    assert simhash.components(table.limit(0)).count() == 0
