@@ -62,9 +62,3 @@ def suffix_candidates(titles: DataFrame, after: str, min_hits: int, stop_words:
     tail = F.regexp_extract(F.col("title"), f"(?i){after}[ :,-]+([a-z]+(?: [a-z]+){{0,3}})", 1)
     own = titles.select("id", F.lower(tail).alias("suffix")).where(F.length("suffix").between(5, 48) & ~F.col("suffix").isin(*stop_words))
     return own.distinct().groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_hits).orderBy(F.desc("n"), "suffix").limit(limit)
-
-
-def preset_decision(strong: Column, contextual: Column, n_kept: Column, variant: Column, n_known: Column, mode_all: Column) -> Column:
-    """Hide or keep, in order: not eligible, kept, mode all, variant wording, not exactly one known name."""
-    eligible = strong | (contextual & strong)
-    return F.when(~eligible, "keep").when(n_kept > 0, "keep").when(mode_all, "hide").when(variant, "keep").when(n_known != 1, "keep").otherwise("hide")

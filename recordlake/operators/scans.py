@@ -66,12 +66,3 @@ def delete_plan(rows: DataFrame, key: str, protected: DataFrame, allowed: Column
 def dedupe_by_hash(rows: DataFrame, text: str, key: str) -> DataFrame:
     """sha, first key and number of rows of each distinct text."""
     return rows.groupBy(F.sha2(F.col(text), 256).alias("sha")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
-
-
-def flatten_json(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, value of each top-level member of a JSON object and of one level below; lists stay whole."""
-    top = rows.select(key, F.explode(F.from_json(text, "map<string,string>")).alias("path", "value"))
-    below = F.when(F.col("value").startswith("{"), F.from_json("value", "map<string,string>"))
-    deep = top.withColumn("below", below)
-    leaf = deep.where("below is null").select(key, "path", "value")
-    return leaf.unionByName(deep.where("below is not null").select(key, F.col("path").alias("p"), F.explode("below").alias("q", "value")).select(key, F.concat_ws(".", "p", "q").alias("path"), "value"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlake.functions import text as tx
-from recordlake.functions import values
-from recordlake.operators import browse, conversations, rules, scans
+from recordlake.functions import leaves, values
+from recordlake.operators import browse, conversations, presets, rules, scans
 from recordlake.operators.browse import FilterSpec
 
 from . import views
@@ -102,10 +102,42 @@ def suffix_candidates(t: Tables) -> DataFrame:
     return rules.suffix_candidates(_id_titles(t), "licensed", 1, ("under",), 200)
 
 
-@query("SELECT p_partkey, CASE WHEN NOT p_name LIKE '%ring%' THEN 'keep' WHEN p_size > 40 THEN 'keep' WHEN p_type = 'ECONOMY' THEN 'hide' WHEN p_name LIKE 'small%' THEN 'keep' WHEN p_size % 3 <> 1 THEN 'keep' ELSE 'hide' END AS decision FROM part")
+# A franchise of rings: ring and rod are its names, plates a group, gizmo and widget characters, of which widget needs a strong name beside it.
+PRESET = (
+    ("franchise", "f", "f", None, "Ring", "strong"),
+    ("franchise", "f", "f", None, "red", "contextual"),
+    ("group", "plates", "f", None, "cold plate", "strong"),
+    ("group", "plates", "f", None, "hot plate", "contextual"),
+    ("character", "gizmo", "f", "female", "gizmo", "strong"),
+    ("character", "widget", "f", "male", "widget", "contextual"),
+    ("character", "gear", "f", "unknown", "blue gear", "strong"),
+    ("character", "other", "g", "male", "bolt", "strong"),
+    ("variant", "v", None, None, "gender bent", "strong"),
+    ("theme", "t", None, None, "large anvil", "strong"),
+)
+PRESET_SQL = """t AS (SELECT p_partkey AS id, ' ' || p_name || CASE WHEN p_size % 3 = 0 THEN ' ring' WHEN p_size % 3 = 1 THEN ' gizmo' ELSE '' END || CASE WHEN p_size > 40 THEN ' gender bent' ELSE '' END || ' ' AS x FROM part),
+h AS (SELECT id, contains(x, ' ring ') AS strong, contains(x, ' cold plate ') AS grp, contains(x, ' gizmo ') AS gizmo, contains(x, ' ring ') AND contains(x, ' widget ') AS widget, contains(x, ' blue gear ') AS gear, contains(x, ' gender bent ') AS variant FROM t),
+e AS (SELECT *, gizmo::INT + widget::INT + gear::INT AS n, array_to_string(list_filter([CASE WHEN gear THEN 'gear' END, CASE WHEN gizmo THEN 'gizmo' END, CASE WHEN widget THEN 'widget' END], lambda y: y IS NOT NULL), ',') AS characters FROM h WHERE strong OR grp OR gizmo OR gear)"""
+
+
+def _preset(t: Tables) -> DataFrame:
+    more = F.when(F.col("p_size") % 3 == 0, "Ring").when(F.col("p_size") % 3 == 1, "— Gizmó").otherwise("")
+    title = F.concat(F.initcap("p_name"), more, F.when(F.col("p_size") > 40, " (Gender-Bent)").otherwise(""))
+    titles = t.part.select(F.col("p_partkey").alias("id"), title.alias("title"))
+    return presets.matches(titles, t.spark.createDataFrame(list(PRESET), presets.CATALOGUE), "f")
+
+
+@query(f"""WITH {PRESET_SQL} SELECT id, CASE WHEN gizmo THEN 'kept' WHEN variant THEN 'variant' WHEN n <> 1 OR NOT widget THEN 'not one known character' ELSE 'one character' END AS reason,
+characters, CASE WHEN NOT variant AND n = 1 THEN CASE WHEN gizmo THEN 'female' WHEN widget THEN 'male' ELSE 'unknown' END ELSE 'unknown' END AS gender, NOT gizmo AND NOT variant AND n = 1 AND widget AS hide FROM e""")
 def preset_decision(t: Tables) -> DataFrame:
-    strong = F.col("p_name").contains("ring")
-    return t.part.select("p_partkey", rules.preset_decision(strong, F.lit(False), (F.col("p_size") > 40).cast("int"), F.col("p_name").startswith("small"), F.col("p_size") % 3, F.col("p_type") == "ECONOMY").alias("decision"))
+    """Titles that the franchise's names, groups or characters stand in, for a reader who keeps female characters."""
+    return presets.decide(_preset(t), "keep-female").where("matched").select("id", "reason", "characters", "gender", "hide")
+
+
+@query(f"WITH {PRESET_SQL} SELECT CASE WHEN widget THEN 'kept' ELSE 'any name' END AS reason, count(*) AS n FROM e GROUP BY 1")
+def preset_reasons(t: Tables) -> DataFrame:
+    """With everything hidden but one kept character."""
+    return presets.decide(_preset(t), "all", keep_characters=("widget",)).where("matched").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT user_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS digest, count(*) AS n FROM events GROUP BY 1, 2")
@@ -197,7 +229,23 @@ def queue_rotation(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 def variant_flatten(t: Tables) -> DataFrame:
-    return scans.flatten_json(t.events, "event_id", "props")
+    return leaves.flatten(t.events, "event_id", "props")
+
+
+@query("SELECT o_orderkey, repeat('d.', 20) || p AS path, v AS value FROM (SELECT o_orderkey, unnest([{'p': 'status', 'v': o_orderstatus}, {'p': 'n.total', 'v': CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)}, {'p': 'list', 'v': '[{\"a\":1,\"b\":\"é\"},null]'}, {'p': 'none', 'v': NULL}], recursive := true) FROM orders)")
+def nested_leaves(t: Tables) -> DataFrame:
+    """Objects 21 levels deep, by the table function in SQL; lists stay whole, empty objects have no leaves."""
+    leaves.register(t.spark)
+    inner = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","n":{"total":'), F.floor("o_totalprice").cast("string"), F.lit(',"e":{}},"list":[{"b":"é","a":1},null],"none":null}'))
+    made = t.orders.select("o_orderkey", F.concat(F.repeat(F.lit('{"d":'), F.lit(20)), inner, F.repeat(F.lit("}"), F.lit(20))).alias("text"))
+    return t.spark.sql("SELECT o_orderkey, l.path, l.value FROM {made}, LATERAL rl_leaves(text) l", made=made)
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS status FROM orders GROUP BY 1")
+def consensus_function(t: Tables) -> DataFrame:
+    """The aggregate function in SQL."""
+    leaves.register(t.spark)
+    return t.spark.sql("SELECT o_custkey, rl_consensus(o_orderstatus) AS status FROM {orders} GROUP BY o_custkey", orders=t.orders)
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '\?([^#]*)', 1) AS query, regexp_matches(url, '^https://[^/?#@]+([/?#].*)?$') AND length(url) <= 2048 AS safe FROM pages")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlake.session import shared_dir
-from recordlake.streaming import fold, observe
+from recordlake.streaming import fold, observe, replay
 
+from . import views
 from .history_queries import OBSERVE, observation_documents
 from .registry import Tables, query
 from .temporal_queries import W
@@ -67,3 +68,18 @@ def _observed(t: Tables) -> DataFrame:
 def stream_observe_events(t: Tables) -> DataFrame:
     """The observation fold over shuffled batches: the events of `observe_events` row by row, and those of metrics and status."""
     return _observed(t).withColumn("at", F.date_format("at", "yyyy-MM-dd"))
+
+
+@query(W + "SELECT entity_id, path, k FROM known")
+def replay_parity(t: Tables) -> DataFrame:
+    """Events as journals, a file a week, replayed with a budget of half their number until nothing is left; the same values as `last_known`."""
+    week = F.date_format(F.date_trunc("week", F.col("at")), "yyyy-MM-dd")
+    order = Window.partitionBy("file").orderBy("at", "pos")
+    entries = views.observations(t).select("entity_id", "path", "k", "at", "pos", week.alias("file"))
+    root = _shared(t)
+    entries.withColumn("line", F.row_number().over(order).cast("bigint")).drop("at", "pos").write.parquet(f"{root}/journal")
+    journal = t.spark.read.parquet(f"{root}/journal")
+    budget = journal.count() // 2
+    while replay.replay(t.spark, journal, root, budget)["left"]:
+        pass
+    return replay.values(t.spark, root)

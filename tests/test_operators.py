@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordlake.functions import text, values
+from recordlake.functions import leaves, text, values
 from recordlake.operators import audit, browse, conversations, names, rules, scans, tags, temporal
 
 
@@ -121,7 +121,7 @@ def test_scans(spark):
     once = scans.upsert(prior, new, "id")
     assert rows(once) == rows(scans.upsert(once, new, "id")) == [(1, "a"), (2, "c"), (3, "d")]
     docs = spark.createDataFrame([(1, '{"a": {"b": 1, "c": [1, 2]}, "d": "x", "e": {}}')], "id int, j string")
-    assert rows(scans.flatten_json(docs, "id", "j"), "path", "value") == [("a.b", "1"), ("a.c", "[1,2]"), ("d", "x")]
+    assert rows(leaves.flatten(docs, "id", "j"), "path", "value") == [("a.b", "1"), ("a.c", "[1,2]"), ("d", "x")]
 
 
 def test_text_functions(spark):
