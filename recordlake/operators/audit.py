@@ -144,3 +144,25 @@ def scan_until_known(rows: DataFrame, page: int, streak: int) -> DataFrame:
     followed = seen.select(F.explode(F.sequence(F.col("page") - streak, F.col("page") - 1)).alias("page"))
     stop = seen.join(followed, "page", "left_anti").agg((F.min("page") + streak).alias("stop"))
     return pages.crossJoin(F.broadcast(stop)).where("page <= stop").select("page", "fresh")  # one row
+
+
+def with_outcome(runs: DataFrame, outcomes: DataFrame, at: str, fields: tuple[str, ...]) -> DataFrame:
+    """Runs whose fields are taken from the newest outcome, where that has a run's very time and the field is given; others stay as they are."""
+    newest = outcomes.orderBy(F.desc(at)).limit(1).select(F.col(at).alias("__at"), *(F.col(f).alias(f"__{f}") for f in fields))
+    both = runs.join(F.broadcast(newest), F.col(at) == F.col("__at"), "left")  # one row
+    told = {f: F.coalesce(f"__{f}", f) if f in runs.columns else F.col(f"__{f}") for f in fields}
+    return both.withColumns(told).drop("__at", *(f"__{f}" for f in fields))
+
+
+def export_pages(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
+    """page (from 0), key and value of an export in pages of `size` rows, the greatest value first, then the least key.
+
+    An error, and no page, where a key is missing or repeated or a value is negative: such an export would be incomplete.
+    """
+    from recordlake.operators.scans import ranking
+
+    problem = F.when(F.col(key).isNull(), "a row without a key").when(F.col("__n") > 1, F.concat(F.lit("repeated key "), F.col(key).cast("string"))).when(F.coalesce(F.col(value), F.lit(-1)) < 0, F.concat(F.lit("bad value of "), F.col(key).cast("string")))
+    once = rows.groupBy(key).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("__n"))
+    checked = once.withColumn(value, F.when(problem.isNull(), F.col(value)).otherwise(F.raise_error(problem).cast(once.schema[value].dataType))).drop("__n")
+    ranked = ranking(checked.withColumn("__all", F.lit(0)), "__all", value, key)
+    return ranked.select(F.floor((F.col("rank") - 1) / size).alias("page"), key, value)

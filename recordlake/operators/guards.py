@@ -5,7 +5,7 @@ Runs are one row per run; folds over them are in order and hold one run's state.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,23 +18,23 @@ def quota_safe(checked: Column, now: Column, allowed: Column, values: dict[str,
     return F.coalesce(out, F.lit(False))
 
 
-def _folded(runs: DataFrame, order: str, value: Column, start: Column, step, give):  # noqa: ANN001, ANN202
-    """One row per run with the state after a fold over all runs in order; runs are few, so they fit one array."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
-    states = F.aggregate("runs", F.array(F.struct(F.lit(None).cast("bigint").alias("o"), F.lit(None).cast(give["v"]).alias("v"), start.alias("s"))), lambda acc, r: F.concat(acc, F.array(F.struct(r["o"].cast("bigint").alias("o"), r["v"].cast(give["v"]).alias("v"), step(F.element_at(acc, -1)["s"], F.element_at(acc, -1)["v"], r["v"]).alias("s")))))
-    return runs.agg(rows.alias("runs")).select(F.inline(F.slice(states, 2, 2_147_483_000)))
-
-
 def hysteresis(runs: DataFrame, order: str, value: str, pause: int, resume: int) -> DataFrame:
-    """order, value, paused: pauses at `pause`, and once paused goes on until the value is below `resume`."""
-    step = lambda paused, _, v: v >= F.when(paused, F.lit(resume)).otherwise(F.lit(pause))
-    return _folded(runs, order, F.col(value), F.lit(False), step, {"v": "bigint"}).select(F.col("o").alias(order), F.col("v").alias(value), F.col("s").alias("paused"))
+    """order, value, paused: pauses at `pause`, and once paused goes on until the value is below `resume`.
+
+    The last value outside of what lies between the two bounds decides. Runs are one row a run, so one window takes them all.
+    """
+    if resume > pause:
+        raise ValueError("it can't resume above where it pauses")
+    told = F.when(F.col(value) >= pause, F.lit(True)).when(F.col(value) < resume, F.lit(False))
+    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return runs.select(order, value, F.coalesce(F.last(told, ignorenulls=True).over(so_far), F.lit(False)).alias("paused"))
 
 
 def adaptive_budget(runs: DataFrame, order: str, clean: Column, base: int, growth: int, most: int) -> DataFrame:
     """order, budget of each run: grows after a clean run, up to `most`."""
-    step = lambda budget, before, _: F.when(before, F.least(F.lit(most), budget + growth)).otherwise(budget).cast("bigint")
-    return _folded(runs, order, clean, F.lit(base).cast("bigint"), step, {"v": "boolean"}).select(F.col("o").alias(order), F.col("s").alias("budget"))
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    grown = F.coalesce(F.count_if(clean).over(before), F.lit(0)) * growth
+    return runs.select(order, F.least(F.lit(most), base + grown).cast("bigint").alias("budget"))
 
 
 def catch_up(pending: Column, running: Column, least: int) -> Column:

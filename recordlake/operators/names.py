@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.operators.rules import small
+
 from recordlake.functions.text import norm_label
 
 PLACEHOLDERS = ("unknown", "unnamed", "untitled")
@@ -17,9 +19,16 @@ def name_frequency(rows: DataFrame) -> DataFrame:
 
 
 def repeated_titles(titles: DataFrame, min_length: int, top: int) -> DataFrame:
-    """The most frequent titles, of those the repeated ones: the limit comes before the filter."""
-    counts = titles.where(F.length("title") >= min_length).groupBy("title").agg(F.count(F.lit(1)).alias("uses"))
-    return counts.orderBy(F.desc("uses"), "title").limit(top).where("uses >= 2")
+    """title, uses of the most frequent titles, of those the repeated ones: the limit comes before the filter.
+
+    Titles may be long, so they are counted by two hashes; only what may be among the first is looked up, once a task.
+    """
+    own = titles.where(F.length("title") >= min_length).select("title", F.xxhash64("title").alias("a"), F.xxhash64(F.lit(1), "title").alias("b"))
+    counts = own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses")).where("uses >= 2")
+    last = counts.orderBy(F.desc("uses")).limit(top).agg(F.min("uses").alias("last"))
+    first = counts.join(F.broadcast(last), F.col("uses") >= F.col("last")).drop("last")  # one row
+    named = own.join(small(first), ["a", "b"]).groupBy("a", "b", "uses").agg(F.any_value("title").alias("title"))
+    return named.select("title", "uses").orderBy(F.desc("uses"), "title").limit(top)
 
 
 def category_counts(rows: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:

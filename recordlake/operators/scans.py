@@ -12,12 +12,12 @@ def ranking(rows: DataFrame, listing: str, value: str, tie: str) -> DataFrame:
     Listings are few and long, so only their histograms of values are summed up in order; rows are numbered among those of
     one value.
     """
-    counts = rows.groupBy(listing, value).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(listing).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(listing).alias("__l"), F.col(value).alias("__v"), F.coalesce(before, F.lit(0)).alias("before"))
+    counts = rows.groupBy(listing, value).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(listing).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(listing).alias("__l"), F.col(value).alias("__v"), F.coalesce(before, F.lit(0)).alias("__before"))
     both = rows.join(counts, F.col(listing).eqNullSafe(F.col("__l")) & F.col(value).eqNullSafe(F.col("__v")))
     nth = F.row_number().over(Window.partitionBy(listing, value).orderBy(tie))
-    return both.withColumn("rank", (F.col("before") + nth).cast("int")).drop("__l", "__v", "before")
+    return both.withColumn("rank", (F.col("__before") + nth).cast("int")).drop("__l", "__v", "__before")
 
 
 def ranking_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

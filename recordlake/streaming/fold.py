@@ -25,7 +25,7 @@ def merge_last_known(spark: SparkSession, stream: DataFrame, out: str, checkpoin
     """Folds a stream of entity_id, pos, at, path, k into a table of the newest value per key, and waits for its end.
 
     A batch writes one row per key it has, as a delta under its number, so its work follows the batch and not the table; a
-    repeated batch overwrites its own delta. Now and then deltas are merged into a base.
+    repeated batch overwrites its own delta. Now and then deltas are merged into a base, and what the base before covers goes.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -33,10 +33,22 @@ def merge_last_known(spark: SparkSession, stream: DataFrame, out: str, checkpoin
         own.select("entity_id", "path", "k", F.col("seen.at").alias("at"), F.col("seen.pos").alias("pos")).write.mode("overwrite").parquet(f"{out}/delta/batch={number}")
         if (number + 1) % compact_every == 0:
             _merged(spark, out, number).write.mode("overwrite").parquet(f"{out}/base/batch={number}")
+            _drop_covered(spark, out, number)
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _drop_covered(spark: SparkSession, out: str, base: int) -> None:
+    """Removes what the base before `base` covers: its deltas and older bases. The newest two generations stay, for those who read now."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {kind: {int(f.getPath().getName().split("=")[1]): f.getPath() for f in files.listStatus(hadoop(f"{out}/{kind}")) if f.getPath().getName().startswith("batch=")} for kind in ("base", "delta")}
+    before = max((n for n in found["base"] if n < base), default=None)
+    if before is not None:
+        for path in [p for n, p in found["delta"].items() if n <= before] + [p for n, p in found["base"].items() if n < before]:
+            files.delete(path, True)
+
+
 def _merged(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """Newest value per key of the newest base below batch `before` and the deltas behind it."""
     rows, base = spark.read.parquet(f"{out}/delta"), None

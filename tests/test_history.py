@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordlake.functions import cleaning, roles
 from recordlake.functions.sql import register
-from recordlake.operators import guards, history, reviews
+from recordlake.operators import audit, guards, history, reviews
 from recordlake.sources import uploads
 
 ROWS = "entity_id string, source string, at string, path string, value string"
@@ -119,3 +120,17 @@ def test_uploads_plain_and_compressed(spark, tmp_path):
     (tmp_path / "f.json").write_bytes(b'{"snapshots":[{"k":8}],"records":{"a":{"savedCopy":{"k":6}}},"bots":"no list"}')
     rows = uploads.contained(uploads.read_uploads(spark, str(tmp_path)))
     assert sorted(r.k for r in rows.select(F.try_variant_get("payload", "$.k", "int").alias("k")).collect()) == [1, 2, 3, 4, 6]
+
+
+def test_outcomes_and_export_pages(spark):
+    runs = spark.createDataFrame([(1, 5, 0), (2, 6, 1)], "at int, pages int, errors int")
+    outcomes = spark.createDataFrame([(1, 50, True), (2, None, False)], "at int, pages int, partial boolean")
+    got = audit.with_outcome(runs, outcomes, "at", ("pages", "partial")).orderBy("at").collect()
+    assert [(r.pages, r.errors, r.partial) for r in got] == [(5, 0, None), (6, 1, False)]
+    late = outcomes.unionByName(spark.createDataFrame([(9, 1, True)], outcomes.schema))
+    assert [r.partial for r in audit.with_outcome(runs, late, "at", ("pages", "partial")).collect()] == [None, None]
+    rows = spark.createDataFrame([(i, i % 3) for i in range(7)], "id int, n int")
+    assert [(r.page, r.id) for r in audit.export_pages(rows, "id", "n", 3).orderBy("page", F.desc("n"), "id").collect()] == [(0, 2), (0, 5), (0, 1), (1, 4), (1, 0), (1, 3), (2, 6)]
+    for bad in [(3, 1), (8, -1), (9, None), (None, 1)]:
+        with pytest.raises(Exception, match="(?i)key|value"):
+            audit.export_pages(rows.unionByName(spark.createDataFrame([bad], rows.schema)), "id", "n", 3).collect()
