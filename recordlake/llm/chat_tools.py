@@ -18,7 +18,7 @@ from .common import cut, shared_dir
 #: Types that a schema may name, with the beginnings of what `schema_of_variant` says of such a value.
 TYPES = {
     "string": ("STRING",),
-    "integer": ("BIGINT",),
+    "integer": ("BIGINT",),  # and numbers of any width or notation whose fraction is zero
     "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
     "boolean": ("BOOLEAN",),
     "object": ("OBJECT",),
@@ -103,7 +103,10 @@ def argument_problems(arguments: Column, required: Column, types: Column) -> lis
     def fits(entry: Column) -> Column:
         want = F.try_element_at(types, entry["key"])
         tests = [(want == name) & F.substring_index(F.substring_index(kind(entry["value"]), "<", 1), "(", 1).isin(*begins) for name, begins in TYPES.items()]
-        return want.isNull() | F.array_contains(F.array(*tests), F.lit(True))
+        value = entry["value"]
+        real = F.try_variant_get(value, "$", "double")
+        whole = F.when(kind(value).startswith("DECIMAL"), F.try_variant_get(value, "$", "string").rlike(r"^-?[0-9]+(\.0*)?$")).when(kind(value).isin("DOUBLE", "FLOAT"), real == F.rint(real))
+        return want.isNull() | F.array_contains(F.array(*tests), F.lit(True)) | F.coalesce((want == "integer") & whole, F.lit(False))
 
     wrong = F.transform(F.filter(F.map_entries(given), lambda e: ~fits(e)), lambda e: e["key"])
     return [
@@ -164,12 +167,17 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 def turns(conversations: DataFrame, tool: str = "reply") -> DataFrame:
     """Each turn as kind (call, result, answer or message), conv, turn, role, text, id, name, arguments, depends_on, content.
 
-    In any role, a JSON object with `id` and `name` is a call and one with `tool_call_id` is a result. Of other texts, a
+    In any role, a JSON object with `id` and `name` is a call and one with `tool_call_id` is a result; a list of such calls, or of such
+    results, gives a row each. An object that repeats a key is no JSON object here and stays text. Of other texts, a
     user's turn is a call of `tool` with its text as the argument `prompt` and the id `conversation:turn`; an
     assistant's turn is the answer to the turn before. All others, as a system's, are messages.
     """
     own = conversations.select(F.col("conv_id").cast("bigint").alias("conv"), F.col("turn").cast("bigint").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
-    own = own.withColumn("v", F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text")))
+    listed = F.when(F.ltrim("text").startswith("["), F.try_variant_get(F.try_parse_json("text"), "$", "array<variant>"))
+    has = lambda v, *names: F.array_size(F.array_compact(F.array(*(F.try_variant_get(v, f"$.{n}", "string") for n in names)))) == len(names)
+    alike = (F.size("listed") > 0) & (F.forall("listed", lambda v: has(v, "id", "name")) | F.forall("listed", lambda v: has(v, "tool_call_id")))
+    one = F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text"))
+    own = own.withColumn("listed", listed).select("conv", "turn", "role", "text", F.explode(F.when(alike, F.col("listed")).otherwise(F.array(one))).alias("v"))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     place_id = lambda back: F.concat(F.col("conv").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     is_call = get("$.id", "string").isNotNull() & get("$.name", "string").isNotNull()
@@ -194,7 +202,7 @@ def turns(conversations: DataFrame, tool: str = "reply") -> DataFrame:
 
 
 def format_turns(conversations: DataFrame, schemas: DataFrame, tool: str = "reply") -> DataFrame:
-    """One row per row of `conversations` (conv_id, turn, role, text): kind, call_id, name, level, problems, result_turn, n_results, json.
+    """One row per row of `conversations` (conv_id, turn, role, text), or per call or result of a list of them: kind, call_id, name, level, problems, result_turn, n_results, json.
 
     Calls are linked as in `link_tool_calls`. A result whose call doesn't exist has the problem `no call`; an assistant's turn
     that answers no call is a message. Null texts are calls without a prompt, answers and messages without content. Turns

@@ -132,3 +132,17 @@ def test_joins_are_hashed_and_nothing_leaves_the_engine(spark):
 
 def test_chains_of_orders(spark):
     assert "tool_chains" in queries.QUERIES and "tool_chains" in queries.SQL
+
+
+def test_lists_of_calls_and_whole_numbers(spark):
+    call = lambda i, n: f'{{"id":"{i}","name":"f","arguments":{{"n":{n}}}}}'
+    numbers = ["12345678901234567890", "1.0", "1e2", "-3", "2.5", "1e-1", "12345678901234567890.5", '"7"', "123456789012345678901234567890123456789012"]
+    rows = [(1, 0, "assistant", "[" + ",".join(call(f"c{i}", n) for i, n in enumerate(numbers)) + "]")]
+    rows += [(1, 1, "tool", '[{"tool_call_id":"c0","content":"a"},{"tool_call_id":"c1","content":{"k":1}}]'), (1, 2, "assistant", "[" + call("c90", 1) + ',{"id":"no name"}]'), (1, 3, "assistant", "[]"), (1, 4, "assistant", "[not json")]
+    schemas = spark.createDataFrame([("f", ["n"], {"n": "integer"})], chat_tools.SCHEMAS)
+    got = chat_tools.format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), schemas).collect()
+    calls = {r.call_id: r for r in got if r.kind == "call"}
+    assert sorted(calls) == [f"c{i}" for i in range(len(numbers))]
+    assert {i for i, r in calls.items() if "type: n" in r.problems} == {"c4", "c5", "c6", "c7"}
+    assert [calls[f"c{i}"].result_turn for i in range(3)] == [1, 1, None]
+    assert sorted(r.turn for r in got if r.kind == "result") == [1, 1] and sorted(r.turn for r in got if r.kind == "message") == [2, 3, 4]
