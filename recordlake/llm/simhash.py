@@ -22,7 +22,7 @@ from .common import by_key, cut, documents, drop, nullable_ints, slices, space_w
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Links, of 16 bytes each, that one task may join.
-SMALL_LINKS = 1_000_000
+SMALL_LINKS = 3_000_000
 #: Fingerprints of a bucket that are compared as one block; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
 #: Fingerprints that a bucket should hold on average.
@@ -158,14 +158,38 @@ def links(nodes: DataFrame, n_nodes: int, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links u, v of a task: each node that isn't the least of its part, with the least."""
+    held = [f[["u", "v"]].to_numpy(np.int64) for f in frames]
+    if not held:
+        return
+    names, at = np.unique(np.concatenate(held), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(names))
+    while True:
+        # Hooking roots and jumping pointers: rounds follow the logarithm of the longest chain.
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    own = np.flatnonzero(label != np.arange(len(names)))
+    yield pd.DataFrame({"node": names[own], "root": names[label[own]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each node's part, as a written table; nodes that are roots or without links don't appear.
 
-    Alternates large-star and small-star steps: each makes links point at least neighbours, keeps the number of links
+    Up to SMALL_LINKS links, by their number, are joined by one task. More alternate large-star and small-star steps: each makes links point at least neighbours, keeps the number of links
     and what they join, and ends in stars. Each step's minimum is aggregated before it is joined back, so a
     node with very many links is no task's own. Steps follow the logarithm of the number of nodes.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.limit(SMALL_LINKS + 1).count() <= SMALL_LINKS:
+        roots = cut(edges.repartition(1).mapInPandas(_joined, "node bigint, root bigint"))
+        drop(edges)
+        return roots
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
