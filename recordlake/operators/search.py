@@ -7,18 +7,22 @@ passes. It is four whole numbers beside the id: the first phase reads 40 bytes a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.functions.text import FNV_OFFSET, FNV_PRIME, TOKEN, tokens
+from recordlake.functions.text import FNV_OFFSET, FNV_PRIME, TOKEN
 
 #: Fixed size of a signature, in words of 64 bits, and bits of a token.
 WORDS, SEEDS = 4, 4
 NAMES = tuple(f"w{i}" for i in range(WORDS))
-_LANE = 16
-_LOW = sum(0xFF << _LANE * s for s in range(SEEDS))
+#: Tokens whose bits a worker remembers at once.
+MEMO = 200_000
 
 
 def _low_byte(text: str, state: int = FNV_OFFSET & 0xFF) -> int:
@@ -28,33 +32,46 @@ def _low_byte(text: str, state: int = FNV_OFFSET & 0xFF) -> int:
     return state
 
 
-#: States behind the seeds' own text, `0:` to `3:`, one a lane.
-_START = sum(_low_byte(f"{s}:") << _LANE * s for s in range(SEEDS))
-
-
-def _step(state: Column, char: Column) -> Column:
-    """One character for all lanes: exclusive or, then times the prime's low byte as a sum of shifts whose lanes stay apart."""
-    mixed = state.bitwiseXOR(F.ascii(char).cast("bigint") * F.lit(sum(1 << _LANE * s for s in range(SEEDS))))
-    shifts = [i for i in range(8) if FNV_PRIME >> i & 1]
-    return reduce(lambda a, b: a + b, (F.shiftleft(mixed, i).bitwiseAND(F.lit(_LOW)) for i in shifts)).bitwiseAND(F.lit(_LOW))
-
-
-def positions(token: Column) -> Column:
-    """A token's bit positions, one in each lane of a whole number. Tokens are ASCII."""
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(_START), lambda s, i: _step(s, F.substring(token, i, F.lit(1))))
+def _bits(tokens: list[str]) -> dict[str, int]:
+    """Each token with its bits, as one number of 256 bits. Tokens are ASCII; all of one length or more take a step together."""
+    tokens = sorted(tokens, key=len, reverse=True)
+    raw = np.frombuffer("".join(tokens).encode(), np.uint8)
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    state = np.tile(np.array([_low_byte(f"{s}:") for s in range(SEEDS)], np.uint8), (len(tokens), 1))
+    for i in range(sizes[0] if len(tokens) else 0):
+        n = int(np.searchsorted(-sizes, -i))
+        state[:n] = (state[:n] ^ raw[starts[:n] + i, None]) * np.uint8(FNV_PRIME & 0xFF)
+    words = np.zeros((len(tokens), WORDS), np.uint64)
+    for s in range(SEEDS):
+        words[np.arange(len(tokens)), state[:, s] >> 6] |= np.uint64(1) << (state[:, s] & 63).astype(np.uint64)
+    data = words.astype("<u8").tobytes()
+    return dict(zip(tokens, (int.from_bytes(data[at : at + 8 * WORDS], "little") for at in range(0, len(data), 8 * WORDS)), strict=True))
 
 
 def signatures(values: DataFrame) -> DataFrame:
     """id and w0 to w3 over all values (id, value) of a record, current and former ones; null and empty values add nothing.
 
-    A token's places are found once a text; its bits are then set by a grouped `bit_or`, aggregated before it is shuffled.
+    A text becomes its four words in one Arrow pass, so what is shuffled is a row per text and not per token. A worker
+    remembers the bits of some MEMO tokens.
     """
-    places = F.array_distinct(F.transform(tokens(F.coalesce("value", F.lit(""))), positions))
-    own = values.select("id", F.explode_outer(places).alias("p"))
-    bit = lambda s: F.shiftright("p", _LANE * s).bitwiseAND(F.lit(0xFF))
-    one = lambda b, w: F.when(F.shiftright(b, 6) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), b.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    words = (F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), (one(bit(s), w) for s in range(SEEDS)))).alias(NAMES[w]) for w in range(WORDS))
-    return own.groupBy("id").agg(*words)
+    own = values.select("id", F.lower(F.coalesce("value", F.lit(""))).alias("value"))
+    kind = own.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        token = re.compile(TOKEN)
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            texts = [set(token.findall(t.replace("’", "'"))) for t in batch.column(1).to_pylist()]
+            if len(memo) > MEMO:
+                memo.clear()
+            memo |= _bits(list(set().union(*texts) - memo.keys()))
+            signed = [reduce(or_, (memo[t] for t in own), 0).to_bytes(8 * WORDS, "little") for own in texts]
+            words = np.frombuffer(b"".join(signed), "<i8").reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, i]) for i in range(WORDS))], names=["id", *NAMES])
+
+    made = own.mapInArrow(run, f"id {kind}, " + ", ".join(f"{w} bigint" for w in NAMES))
+    return made.groupBy("id").agg(*(F.bit_or(w).alias(w) for w in NAMES))
 
 
 def query_tokens(query: str) -> list[str]:
@@ -71,10 +88,14 @@ def masks(query: str) -> list[int]:
     return [w - (1 << 64) if w >> 63 else w for w in words]
 
 
+def _passes(query: str) -> Column:
+    found = reduce(lambda a, b: a & b, (F.col(w).bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for w, m in zip(NAMES, masks(query), strict=True)))
+    return found & F.lit(bool(query_tokens(query)))
+
+
 def candidates(signed: DataFrame, query: str) -> DataFrame:
     """Rows of a table with signatures that may hold all tokens of the query; none for a query without a token."""
-    found = reduce(lambda a, b: a & b, (F.col(w).bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for w, m in zip(NAMES, masks(query), strict=True)))
-    return signed.where(found & F.lit(bool(query_tokens(query))))
+    return signed.where(_passes(query))
 
 
 def search(signed: DataFrame, values: DataFrame, query: str, exact: bool = False) -> DataFrame:
@@ -93,7 +114,6 @@ def search(signed: DataFrame, values: DataFrame, query: str, exact: bool = False
 
 
 def skipped(signed: DataFrame, query: str) -> DataFrame:
-    """One row: records, candidates, and the share of records whose texts aren't looked at."""
-    one = candidates(signed.select(*NAMES), query).agg(F.count(F.lit(1)).alias("candidates"))
-    both = signed.agg(F.count(F.lit(1)).alias("records")).crossJoin(one)  # single rows
+    """One row: records, candidates, and the share of records whose texts aren't looked at; signatures are made once."""
+    both = signed.select(*NAMES).agg(F.count(F.lit(1)).alias("records"), F.count_if(_passes(query)).alias("candidates"))
     return both.withColumn("skipped", F.when(F.col("records") > 0, 1 - F.col("candidates") / F.col("records")))

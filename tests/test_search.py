@@ -46,6 +46,18 @@ def test_signatures_and_no_false_negative(spark):
     assert search.skipped(signed, "the").first().records == 40 and search.skipped(signed.limit(0), "the").first().skipped is None
 
 
+def test_signatures_take_one_pass_and_a_row_per_text(spark, monkeypatch):
+    words = ["the", "l’été", "don’t", "x" * 3000, "it's", "a-b_c", "ab", "Ünder"]
+    table = spark.createDataFrame([(i % 7, " ".join(words[i % 5 :] + [f"w{i}"])) for i in range(600)] + [(None, "the")], "id bigint, value string").coalesce(1)
+    own = {}
+    for r in table.collect():
+        own.setdefault(r.id, set()).update(search.query_tokens(r.value))
+    monkeypatch.setattr(search, "MEMO", 3)
+    assert {r.id: [r.w0, r.w1, r.w2, r.w3] for r in search.signatures(table).collect()} == {i: bits(t) for i, t in own.items()}
+    plan = search.skipped(search.signatures(table), "the")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan
+
+
 def test_lexicon_contexts(spark):
     rules = [("age", "underage"), ("age", "minor"), ("harm", "knife fight"), ("harm", "fight"), ("both", "minor")]
     denied = {"age": (r"(?:no|not|never)\s+(?:\w+\s+){0,2}", r"\s*leagues?\b"), "harm": (None, r"\s+club")}
