@@ -73,7 +73,7 @@ def levels(edges: DataFrame) -> DataFrame:
     forks = cut(forks.select(*KEY, F.coalesce("to", "needs").alias("needs"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.coalesce("never", F.lit(False)).alias("never")))
     path = f"{shared_dir(edges.sparkSession).rstrip('/')}/levels-{uuid.uuid4().hex}"
     spark = edges.sparkSession
-    spark.createDataFrame([], forks.select(*KEY, F.col("far").alias("level")).schema).write.parquet(path)
+    forks.select(*KEY, F.col("far").alias("level")).where("false").write.parquet(path)
     placed = lambda: spark.read.schema("conv " + forks.schema["conv"].dataType.simpleString() + ", id string, level bigint").parquet(path)
     left = forks
     while left.head(1):
@@ -137,7 +137,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     best = r.join(best.hint("shuffle_hash"), [*KEY, "place"]).select(*KEY, F.col("turn").alias("result_turn"), "content", "n_results").distinct()
     linked = c.join(best.withColumn("own", F.lit(True)).hint("shuffle_hash"), [*KEY, "own"], "left")
     needs = c.where("own and depends_on is not null").select(*KEY, F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
-    if needs.head(1):
+    if c.where("size(depends_on) > 0").head(1) and needs.head(1):
         known = firsts.select("conv", F.col("id").alias("needs"), F.lit(True).alias("known"))
         bound = cut(needs.join(known.hint("shuffle_hash"), ["conv", "needs"], "left"))
         missing = bound.where("known is null").groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("needs")), ",").alias("missing"))
@@ -210,6 +210,8 @@ def format_turns(conversations: DataFrame, schemas: DataFrame, tool: str = "repl
     left out, whatever their names.
     """
     own = turns(conversations, tool)
+    if own.where("size(depends_on) > 0").head(1):
+        own = cut(own)  # levels read the calls many times over, so the texts are parsed once
     calls = own.where("kind = 'call'")
     answers = own.where("kind in ('result', 'answer')")
     called = calls.where("id is not null and conv is not null").select(*KEY).distinct().withColumn("called", F.lit(True))

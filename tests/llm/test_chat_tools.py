@@ -146,3 +146,11 @@ def test_lists_of_calls_and_whole_numbers(spark):
     assert {i for i, r in calls.items() if "type: n" in r.problems} == {"c4", "c5", "c6", "c7"}
     assert [calls[f"c{i}"].result_turn for i in range(3)] == [1, 1, None]
     assert sorted(r.turn for r in got if r.kind == "result") == [1, 1] and sorted(r.turn for r in got if r.kind == "message") == [2, 3, 4]
+
+
+def test_calls_with_needs_are_parsed_once(spark):
+    text = ['{"id":"a","name":"ship","arguments":{"where":{}}}', '{"id":"b","name":"ship","depends_on":["a"],"arguments":{"where":1.50}}']
+    talk = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(text)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat_tools.format_turns(talk, spark.createDataFrame([queries.CHAIN_TOOL], chat_tools.SCHEMAS))
+    assert sorted((r.call_id, r.level) for r in got.collect()) == [("a", 0), ("b", 1)]
+    assert "try_parse_json" not in got._jdf.queryExecution().logical().toString() and "parsejson" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
