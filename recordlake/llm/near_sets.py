@@ -4,12 +4,13 @@ Texts whose SimHash fingerprints link, by the bit-sliced comparison of `simhash`
 group and joined if similar. What 64 bits can't tell comes from MinHash: of a similar pair's BANDS bands of ROWS minima
 some agree but with a probability of `(1 - 0.8 ** ROWS) ** BANDS` at most, which is 3 in a million.
 
-Sets that meet in a band are compared by a byte of each of their minima, without their texts: every set with all others if
-they are at most HEADS, else with about HEADS of them, by a hash that is new in each round. A hot band is dealt out in parts
-that all get its heads. Pairs whose bytes agree as often as a similar pair's do, but with a probability of some 5 in a
-million, are candidates; of each set's the best ones are verified by the whole sets. Rounds go on with the sets that are still
-apart until one of them joins nothing. So work follows the number of sets, whatever the size of their groups. What can
-stay apart are sets with few similar ones in bands of very many that are nearly similar.
+Sets that meet in a band are compared by a byte of each of their minima, without their texts: at first with about HEADS of
+the band, by a hash that is new in each round. A hot band is dealt out in parts that all get its heads. Pairs whose bytes
+agree as often as a similar pair's do, but with a probability of some 5 in a million, are candidates; of each set's the best
+ones are verified by the whole sets. When such a round joins nothing, all sets of a band that are still apart are compared,
+a large band as pairs of its parts, and rounds go on with four times as many candidates of each set until none is unverified. So no
+candidate is dropped; groups that are joined cost nothing more, and only sets of very many different groups that
+share a band take work by the square of their number, in bounded memory.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .simhash import components, fingerprint_roots, majority
 
 SHINGLE, NUM, DEN, SEED = 5, 4, 5, 42
 BANDS, ROWS = 24, 4
-#: Sets of a band that the others are compared with, sets of a part of a band, and candidates of a set that are verified a round.
+#: Sets of a band that the others are compared with at first, sets of a part of a band, and candidates of a set that are verified a round at first.
 HEADS, PART, TRIES = 256, 4096, 2
+#: Bands of the first round, which joins most of what is similar, so that few sets are apart in the others.
+FIRST = 4
 #: Bytes of a sketch that agree in a candidate; of a similar pair's 96 it is 77 on average, with a deviation of 4.
 AGREE = 60
 #: Sets that are looked up by a broadcast of their names, 16 bytes each; more are looked up by a shuffle.
@@ -116,8 +119,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return near
 
 
-def _agreeing(frame: pd.DataFrame) -> pd.DataFrame:
-    """a, b, agree: of whole groups, each with its heads first, the members' best heads of other roots whose sketches agree enough."""
+def _agreeing(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """a, b, agree, more: of whole groups, each with its heads first, the members' best `limit` heads of other roots whose sketches agree enough; whether there are more."""
     g, kind, node, root = (frame[c].to_numpy(np.int64) for c in ("g", "kind", "node", "root"))
     sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -137,9 +140,10 @@ def _agreeing(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((-agree, b))
         a, b, agree = a[order], b[order], agree[order]
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-        best = np.arange(len(b)) - np.repeat(first, np.diff(np.r_[first, len(b)])) < 2 * TRIES
-        found.append(pd.DataFrame({"a": node[a[best]], "b": node[b[best]], "agree": agree[best].astype(np.int32)}))
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": [], "agree": []})
+        each = np.diff(np.r_[first, len(b)])
+        best = np.arange(len(b)) - np.repeat(first, each) < limit
+        found.append(pd.DataFrame({"a": node[a[best]], "b": node[b[best]], "agree": agree[best].astype(np.int32), "more": np.repeat(each > limit, each)[best]}))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": [], "agree": [], "more": []})
 
 
 def _stretches(heads: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
@@ -152,11 +156,8 @@ def _stretches(heads: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs a, b of sets that meet in a band, have different roots and agreeing sketches, and weren't tried: the best of each set."""
-    apart = cut(met.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
-    several = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    rows = apart.join(several, "key")
+def _heads_first(rows: DataFrame, turn: int) -> DataFrame:
+    """Members of bands dealt out in parts, all of which get the band's heads: g, kind, node, root, sketch."""
     parts = F.ceil(F.col("n") / PART).cast("int")
     # A hash in [0, 1) chooses the heads; of a band with no more than HEADS sets all are.
     chance = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
@@ -164,7 +165,29 @@ def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int)
     copies = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
     dealt = rows.select("key", "node", "root", "sketch", "head", "own", F.explode(copies).alias("part"))
     kind = F.when(~F.col("head"), 2).when(F.col("own") == F.col("part"), 1).otherwise(0)
-    dealt = dealt.select(F.xxhash64("key", "part").alias("g"), kind.alias("kind"), "node", "root", "sketch")
+    return dealt.select(F.xxhash64("key", "part").alias("g"), kind.alias("kind"), "node", "root", "sketch")
+
+
+def _every_pair(rows: DataFrame) -> DataFrame:
+    """Members of bands dealt out as pairs of parts, so that any two of a band meet in one group: g, kind, node, root, sketch."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    rows = rows.withColumns({"own": F.pmod(F.xxhash64("key", "node"), parts).cast("int"), "parts": parts})
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = rows.select("key", "node", "root", "sketch", "own", F.explode(pair).alias("p"))
+    kind = F.when(F.col("p.i") == F.col("p.j"), 1).when(F.col("own") == F.col("p.i"), 0).otherwise(2)
+    return dealt.select(F.xxhash64("key", "p.i", "p.j").alias("g"), kind.alias("kind"), "node", "root", "sketch")
+
+
+def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int, limit: int) -> tuple[DataFrame, bool]:
+    """Pairs a, b of sets that meet in a band, have different roots and agreeing sketches, and weren't tried: the best of each set.
+
+    With a `limit` all sets of a band are compared, so many candidates of each set are taken, and told is whether any are
+    left; with 0 sets are compared with the band's heads.
+    """
+    apart = cut(met.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
+    several = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    rows = apart.join(several, "key")
+    dealt = _every_pair(rows) if limit else _heads_first(rows, turn)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -173,20 +196,21 @@ def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int)
             g = f["g"].to_numpy()
             last = int(np.searchsorted(g, g[-1])) if len(f) else 0
             if last:
-                yield _agreeing(f.iloc[:last])
+                yield _agreeing(f.iloc[:last], limit or 1)
             rest = f.iloc[last:]
         if rest is not None and len(rest):
-            yield _agreeing(rest)
+            yield _agreeing(rest, limit or 1)
 
-    found = dealt.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(run, "a bigint, b bigint, agree int")
-    found = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b", "agree")
+    found = cut(dealt.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(run, "a bigint, b bigint, agree int, more boolean"))
+    more = bool(limit and found.where("more").head(1))
+    new = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b", "agree")
     if tried is not None:
-        found = found.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
-    # A set has at most 2 * TRIES pairs of each of its bands.
-    best = found.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "x", "y")), False), 1, TRIES).alias("best"))
+        new = new.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+    # A set has at most `limit` pairs of each part of its bands.
+    best = new.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "x", "y")), False), 1, limit or TRIES).alias("best"))
     out = cut(best.select(F.inline("best")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    drop(apart)
-    return out
+    drop(apart, found)
+    return out, more
 
 
 def near_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -209,20 +233,24 @@ def near_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     drop(first, near)
 
     # Bands in which several sets meet.
-    rows = nodes.select("node", "sketch", F.explode("keys").alias("key"))
+    rows = nodes.select("node", "sketch", F.posexplode("keys").alias("band", "key"))
     met = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
-    tried, turn = None, 0
+    tried, turn, limit = None, 0, 0
     while True:
-        tries = _tries(met, roots, tried, turn)
+        tries, more = _tries(met if turn else met.where(F.col("band") < FIRST), roots, tried, turn, limit)
+        left = more or bool(tries.head(1))
         near = _similar(tries, nodes, texts)
-        joined = near.head(1)
+        joined = bool(near.head(1))
         if joined:
             before, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near))
             drop(before)
         past, tried = tried, tries if tried is None else cut(tried.unionByName(tries))
         drop(near, *([past, tries] if past is not None else []))
-        if not joined:
+        if limit and not left:
             break
+        # Heads first; when they join nothing more, every pair, with four times the candidates in each round until none is left.
+        if limit or (turn and not joined):
+            limit = 4 * limit or 2 * TRIES
         turn += 1
     out = cut(sets.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("component"), *carried(sets)))
     drop(sets, nodes, prints, met, roots, tried)
