@@ -63,3 +63,10 @@ def test_text_and_forms(spark):
     for r in chats.messages(own).orderBy("id", "pos").collect():
         got.setdefault(r.id, []).append(r.text)
     assert got == {1: ["hi\nmore", "(ooc) brb", "http://x"], 2: ["a", "b"], 3: ["x", "y"]}
+
+
+def test_exports_are_parsed_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(chats, "ROWS", 2)
+    own = spark.createDataFrame([(i if i else None, "text", f"A: x{i}\nB: y" if i % 3 else None, "a") for i in range(7)] + [(None, "text", "A: z\nB: y", "a")], "id bigint, form string, text string, bot string").coalesce(1)
+    got = sorted((r.id or 0, r.pos, r.role, r.text) for r in chats.messages(own).collect())
+    assert got == sorted((i, *x) for i in (0, 1, 2, 4, 5) for x in ((0, "character", f"x{i}" if i else "z"), (1, "unknown", "y")))
