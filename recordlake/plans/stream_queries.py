@@ -56,10 +56,11 @@ def _observed(t: Tables) -> DataFrame:
     root = _shared(t)
     rows = observation_documents(t).select("entity_id", "source", F.col("at").cast("timestamp").alias("at"), "path", F.col("value").cast("string").alias("value"))
     schema = rows.schema
-    for i in range(BATCHES):
-        rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)) == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    observe.closing_row(rows, LATENESS).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    # One pass over the events; each batch has a file for each task of a shuffle.
+    files = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(BATCHES * files, F.xxhash64(*rows.columns)).write.parquet(f"{root}/in")
+    observe.closing_row(t.spark.read.schema(schema).parquet(f"{root}/in"), LATENESS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     own = observe.ObservationFold(("view", "click"), ("error",), ("error",), "error", "api")
     return observe.fold_files(t.spark, stream, own, LATENESS, f"{root}/events", f"{root}/state")
 

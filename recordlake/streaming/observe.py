@@ -3,6 +3,10 @@
 Documents may arrive in any order and split over batches. They wait in the entity's state until the watermark has passed
 their time; a timer then folds them in order of (at, source), so the events are those of the batch operators. What arrives
 later than the watermark allows is dropped by Spark and belongs to the import of late snapshots (`history.import_snapshots`).
+
+A call of the state costs far more than a row, so what an entity's fold knows is one value, a batch's rows wait as one item, and an
+entity has one timer a batch, for the earliest time that waits, and not one per time: what the watermark has passed is folded
+by the first that goes off. Times are whole microseconds, as in Spark.
 """
 
 from __future__ import annotations
@@ -10,20 +14,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Keeps state with map and list variables.
+#: Keeps state with list variables.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EVENTS = "entity_id bigint, source string, at timestamp, path string, kind string, `from` string, `to` string"
-_NO_ROWS = pd.DataFrame(columns=["entity_id", "source", "at", "path", "kind", "from", "to"])
+_FOLDED = EVENTS.replace("at timestamp", "us bigint")
+_EVENT = Row("entity_id", "source", "us", "path", "kind", "from", "to")
 
 
 class ObservationFold(StatefulProcessor):
-    """Rows (entity_id, source, at, path, value): one per leaf of a document; value null is there but empty.
+    """Rows (entity_id, source, at, path, value, us): one per leaf of a document; value null is there but empty, us is at in microseconds.
 
     Events by kind: value, hidden-or-empty and hidden-or-missing, as `history.observe` has them; metric: a leaf of `metrics`
     has another value than before; new, deleted, restored and restore-candidate: a document with a value of `gone_leaf` tells
@@ -35,43 +39,35 @@ class ObservationFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "source string, at timestamp, path string, value string")
-        self.known = handle.getMapState("known", "path string", "value string")
-        self.current = handle.getMapState("current", "source string, path string", "value string")
-        self.latest = handle.getMapState("latest", "path string", "value string")
-        self.status = handle.getValueState("status", "status string, since timestamp")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        times = set()
-        for frame in rows:
-            frame = frame.astype({"value": object}).where(frame.notna(), None)
-            self.waiting.appendList([(r.source, r.at.to_pydatetime(), r.path, r.value) for r in frame.itertuples()])
-            times |= set(frame["at"])
-        # A timer goes off when the watermark is beyond it, so a time with parts of a millisecond needs the next one.
-        for ms in {-(-int(t.value) // 1_000_000) for t in map(pd.Timestamp, times)}:
-            self.handle.registerTimer(ms)
-        yield _NO_ROWS
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        until = timerValues.getCurrentWatermarkInMs()
+        self.waiting = handle.getListState("waiting", "us array<bigint>, source array<string>, path array<string>, value array<string>")
+        leaves = "map<string, string>"
+        self.known = handle.getValueState("known", f"status string, since bigint, known {leaves}, latest {leaves}, current map<string, {leaves}>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        self.wait([(r.us, r.source, r.path, r.value) for r in rows])
+        return iter(())
+
+    def wait(self, rows: list[tuple]) -> None:
+        """A timer goes off when the watermark is beyond it, so a time with parts of a millisecond needs the next one."""
+        self.waiting.appendValue(tuple(map(list, zip(*rows, strict=True))))
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        until = timerValues.getCurrentWatermarkInMs() * 1000
         ready, later = [], []
-        for row in self.waiting.get():
-            (ready if pd.Timestamp(row[1]).value <= until * 1_000_000 else later).append(row)
+        for item in self.waiting.get():
+            for row in zip(*item, strict=True):
+                (ready if row[0] <= until else later).append(row)
         if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-            yield pd.DataFrame([(key[0], *e) for e in self.fold(sorted(ready, key=lambda r: (r[1], r[0], r[2])))], columns=_NO_ROWS.columns)
-        else:
-            yield _NO_ROWS
+            self.waiting.clear()
+            if later:
+                self.wait(later)
+            for event in self.fold(sorted(ready, key=lambda r: r[:3])):
+                yield _EVENT(key[0], *event)
 
     def fold(self, rows: list[tuple]) -> Iterator[tuple]:
-        known = {k[0]: v[0] for k, v in self.known.iterator()}
-        latest = {k[0]: v[0] for k, v in self.latest.iterator()}
-        current: dict[str, dict] = {}
-        for (source, path), v in ((k, v[0]) for k, v in self.current.iterator()):
-            current.setdefault(source, {})[path] = v
-        status = self.status.get() if self.status.exists() else None
-        old = (dict(known), dict(latest), {(s, p): v for s, d in current.items() for p, v in d.items()}, status)
-        for (at, source), group in groupby(rows, key=lambda r: (r[1], r[0])):
+        status, since, known, latest, current = self.known.get() or (None, None, {}, {}, {})
+        for (at, source), group in groupby(rows, key=lambda r: r[:2]):
             own = {}
             for _, _, path, value in group:
                 own[path] = value if own.get(path) is None else max(own[path], value or own[path])
@@ -95,11 +91,11 @@ class ObservationFold(StatefulProcessor):
                     yield source, at, path, "metric", latest.get(path), value
                     latest[path] = value
             gone = any(v is not None and p.rsplit(".", 1)[-1] == self.gone_leaf for p, v in own.items())
-            kind, now = self.turned(status and status[0], gone, source)
+            kind, now = self.turned(status, gone, source)
             if kind:
-                yield source, at, "status", kind, status and status[0], now
-                status = (now, at) if now else status
-        self.keep(old, known, latest, {(s, p): v for s, d in current.items() for p, v in d.items()}, status)
+                yield source, at, "status", kind, status, now
+                status, since = (now, at) if now else (status, since)
+        self.known.update((status, since, known, latest, current))
 
     def turned(self, status: str | None, gone: bool, source: str) -> tuple[str | None, str | None]:
         """The event of a document, and the status it leads to."""
@@ -109,25 +105,15 @@ class ObservationFold(StatefulProcessor):
             return ("restored", "public") if source == self.verifier else ("restore-candidate", None)
         return (None, None) if status else ("new", "public")
 
-    def keep(self, old: tuple, known: dict, latest: dict, current: dict, status: tuple | None) -> None:
-        """Writes what has changed, and nothing else."""
-        for state, before, now in ((self.known, old[0], known), (self.latest, old[1], latest), (self.current, old[2], current)):
-            for k, v in now.items():
-                if k not in before or before[k] != v:
-                    state.updateValue(k if isinstance(k, tuple) else (k,), (v,))
-            for k in before.keys() - now.keys():
-                state.removeKey(k if isinstance(k, tuple) else (k,))
-        if status != old[3]:
-            self.status.update(status)
-
     def close(self) -> None:
         pass
 
 
 def observe_stream(stream: DataFrame, fold: ObservationFold, lateness: str) -> DataFrame:
     """Events of a stream of observations; `lateness` is how far behind the newest time a row may come."""
-    rows = stream.withWatermark("at", lateness).select("entity_id", "source", "at", "path", "value")
-    return rows.groupBy("entity_id").transformWithStateInPandas(fold, EVENTS, "Append", "EventTime")
+    rows = stream.withWatermark("at", lateness).select("entity_id", "source", "at", "path", "value", F.unix_micros("at").alias("us"))
+    events = rows.groupBy("entity_id").transformWithState(fold, _FOLDED, "Append", "EventTime")
+    return events.select("entity_id", "source", F.timestamp_micros("us").alias("at"), "path", "kind", "from", "to")
 
 
 def fold_files(spark: SparkSession, stream: DataFrame, fold: ObservationFold, lateness: str, out: str, checkpoint: str) -> DataFrame:

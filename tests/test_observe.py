@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+
 from recordlake.operators import history
 from recordlake.streaming import observe
 
@@ -72,3 +74,36 @@ def test_baseline_is_the_first_document_of_any_leaf(spark):
     at = datetime(2024, 1, 1)
     rows = spark.createDataFrame([(1, "api", at, "messages", "5"), (1, "api", at + timedelta(days=1), "b.title", "x")], SCHEMA)
     assert [(r.kind, r["from"], r.to) for r in history.observe(rows, TEXT, VOLATILE).collect()] == [("value", None, "x")]
+
+
+class Counted:
+    """A handle that keeps its variables in memory and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    getMapState = getValueState = getListState
+
+    def called(self, *args):
+        self.calls += 1
+        self.timers |= {a for a in args if isinstance(a, int)}
+
+    registerTimer = appendList = appendValue = updateValue = update = put = clear = called  # noqa: N815
+
+    def get(self):
+        self.calls += 1
+        return None
+
+
+def test_calls_of_an_entity_do_not_grow_with_its_times():
+    handle = Counted()
+    fold = observe.ObservationFold(TEXT, VOLATILE, ("messages",), "gone", "api")
+    fold.init(handle)
+    rows = [Row(entity_id=1, source="api", at=None, path="a", value="x", us=86_400_000_000 * day + 1) for day in range(30, 0, -1)]
+    assert list(fold.handleInputRows((1,), iter(rows), None)) == []
+    assert handle.timers == {86_400_001} and handle.calls == 2
+    events = list(fold.fold([(r.us, r.source, r.path, str(i)) for i, r in enumerate(reversed(rows))]))
+    assert [e[3] for e in events].count("value") == 29 and handle.calls == 4
