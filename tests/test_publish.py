@@ -40,6 +40,19 @@ def test_contracts_of_each_kind(spark):
         contracts.violations(tables, [Constraint("tags", "id", "id", "odd")])
 
 
+def test_values_that_meet_are_dealt_out_by_their_number(spark, monkeypatch):
+    """More tasks than the session's partitions, so that none holds more values as the tables grow; the breaches are the same."""
+    monkeypatch.setattr(contracts, "PER_TASK", 10)
+    owners = spark.range(95).select((F.col("id") % 90).alias("id"))
+    things = spark.range(200).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 93).alias("owner"))
+    tables = {"owners": owners, "things": things}
+    unique, reference = Constraint("owners", "id", "id", "unique"), Constraint("things", "id", "owner", "reference", target="owners.id")
+    assert contracts.violations(tables, [unique]).rdd.getNumPartitions() == 10
+    assert contracts.violations(tables, [reference]).rdd.getNumPartitions() == 20
+    want = {("owners.id unique", str(i), "2 rows") for i in range(5)} | {("things.owner reference", str(i), str(i % 93)) for i in range(200) if i % 7 and i % 93 >= 90}
+    assert {tuple(r) for r in contracts.violations(tables, [unique, reference]).collect()} == want
+
+
 def test_families_behind_one_manifest(spark, tmp_path):
     root = str(tmp_path / "site")
     a = spark.createDataFrame([(i, i % 3, "x") for i in range(9)], "id int, shard int, v string")
