@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -50,3 +51,13 @@ def test_fm_index_on_random_sequences():
         for p, a, b in zip(patterns, lo, hi):
             want = [i for i in range(len(values) - 3) if (values[i : i + 4] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_words_of_a_shard_are_not_held_as_objects():
+    docs = dc.pd.DataFrame({"text": [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(500)]})
+    p = dc.phrases([(1, "one two three four five six seven eight nine ten")])
+    tracemalloc.start()
+    words, _, _ = dc._search(docs, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == [200] * 500 and peak < 45 * sum(words)
