@@ -7,20 +7,21 @@ some agree but with a probability of `(1 - 0.8 ** ROWS) ** BANDS` at most, which
 Sets that meet in a band are compared by a byte of each of their minima, without their texts: at first with about HEADS of
 the band, by a hash that is new in each round. A hot band is dealt out in parts that all get its heads. Pairs whose bytes
 agree as often as a similar pair's do, but with a probability of some 5 in a million, are candidates; of each set's the best
-ones are verified by the whole sets. When such a round joins nothing, all sets of a band that are still apart are compared,
-a large band as pairs of its parts, and rounds go on with four times as many candidates of each set until none is unverified. So no
-candidate is dropped; groups that are joined cost nothing more, and only sets of very many different groups that
-share a band take work by the square of their number, in bounded memory.
+ones are verified by the whole sets. When such a round joins nothing, all sets of a band that are still apart are compared once,
+a large band as pairs of its parts, and each candidate is written once, by the first band that its sets share. Of these, rounds verify
+the best of each set, four times as many in each round, until none is left. So no candidate is dropped; groups that are joined
+cost nothing more, and only sets of very many different groups that share a band take work by the square of their number, in
+bounded memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import carried, carried_schema, cut, documents, drop, nullable_ints, slices, space_words
@@ -77,7 +78,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """doc_id, node (names the set), text_key, fp (its SimHash), keys of its bands, a byte of each minimum and the carried columns of each row."""
+    """doc_id, node (names the set), its size, text_key, fp (its SimHash), keys of its bands, a byte of each minimum and the carried columns of each row."""
     also = carried(texts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,12 +89,12 @@ def _sets(texts: DataFrame) -> DataFrame:
                 own = np.unique(every)
                 node = np.int64(xxhash.xxh64_intdigest(own.tobytes(), seed=SEED) - (1 << 63))
                 low = minima(own)
-                rows.append((node, np.uint64(majority(every)).view(np.int64), band_keys(low) if len(own) else np.zeros(0, np.int64), low.astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["node", "fp", "keys", "sketch"])
+                rows.append((node, len(own), np.uint64(majority(every)).view(np.int64), band_keys(low) if len(own) else np.zeros(0, np.int64), low.astype(np.uint8).tobytes()))
+            out = pd.DataFrame(rows, columns=["node", "size", "fp", "keys", "sketch"])
             out.insert(0, "doc_id", nullable_ints(f["doc_id"]))
             yield out.assign(text_key=f["text_key"], **{c: f[c] for c in also})
 
-    return texts.mapInPandas(run, "doc_id bigint, node bigint, fp bigint, keys array<bigint>, sketch binary, text_key bigint" + carried_schema(texts))
+    return texts.mapInPandas(run, "doc_id bigint, node bigint, size int, fp bigint, keys array<bigint>, sketch binary, text_key bigint" + carried_schema(texts))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,15 +120,14 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return near
 
 
-def _agreeing(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """a, b, agree, more: of whole groups, each with its heads first, the members' best `limit` heads of other roots whose sketches agree enough; whether there are more."""
-    g, kind, node, root = (frame[c].to_numpy(np.int64) for c in ("g", "kind", "node", "root"))
+def _agreeing(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places a, b and agreeing bytes of pairs: of whole groups, each with its heads first, members with the heads of other roots, if enough agree."""
+    g, kind, root = (frame[c].to_numpy(np.int64) for c in ("g", "kind", "root"))
     sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     sizes = np.diff(np.r_[starts, len(g)])
     heads = np.repeat(np.add.reduceat((kind < 2).astype(np.int64), starts), sizes)
     heads[kind == 0] = 0  # copies of heads are compared in their own part
-    found = []
     for lo, hi in _stretches(heads, 200_000):
         b = np.repeat(np.arange(lo, hi), heads[lo:hi])
         ends = np.cumsum(heads[lo:hi])
@@ -136,14 +136,46 @@ def _agreeing(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
         a, b = a[keep], b[keep]
         agree = (sketch[a] == sketch[b]).sum(axis=1)
         keep = agree >= AGREE
-        a, b, agree = a[keep], b[keep], agree[keep]
+        yield a[keep], b[keep], agree[keep].astype(np.int32)
+
+
+def _best(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """a, b, agree: each member's best head."""
+    node = frame["node"].to_numpy(np.int64)
+    for a, b, agree in _agreeing(frame):
         order = np.lexsort((-agree, b))
         a, b, agree = a[order], b[order], agree[order]
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-        each = np.diff(np.r_[first, len(b)])
-        best = np.arange(len(b)) - np.repeat(first, each) < limit
-        found.append(pd.DataFrame({"a": node[a[best]], "b": node[b[best]], "agree": agree[best].astype(np.int32), "more": np.repeat(each > limit, each)[best]}))
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": [], "agree": [], "more": []})
+        best = np.r_[True, b[1:] != b[:-1]][: len(b)]
+        yield pd.DataFrame({"a": node[a[best]], "b": node[b[best]], "agree": agree[best]})
+
+
+def _each(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """a, b, agree: all pairs that can be similar by their sizes, but for those that an earlier band of theirs has too."""
+    node, band, size = (frame[c].to_numpy(np.int64) for c in ("node", "band", "size"))
+    keys = np.stack(frame["keys"].to_numpy())
+    for a, b, agree in _agreeing(frame):
+        earlier = ((keys[a] == keys[b]) & (np.arange(BANDS) < band[a][:, None])).any(axis=1)
+        keep = ~earlier & (DEN * np.minimum(size[a], size[b]) >= NUM * np.maximum(size[a], size[b]))
+        a, b, agree = a[keep], b[keep], agree[keep]
+        yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "agree": agree})
+
+
+def _by_group(dealt: DataFrame, pairs: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
+    """What `pairs` makes of whole groups g, heads first: a, b, agree."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            g = f["g"].to_numpy()
+            last = int(np.searchsorted(g, g[-1])) if len(f) else 0
+            if last:
+                yield from pairs(f.iloc[:last])
+            rest = f.iloc[last:]
+        if rest is not None and len(rest):
+            yield from pairs(rest)
+
+    return dealt.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(run, "a bigint, b bigint, agree int")
 
 
 def _stretches(heads: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
@@ -169,48 +201,50 @@ def _heads_first(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _every_pair(rows: DataFrame) -> DataFrame:
-    """Members of bands dealt out as pairs of parts, so that any two of a band meet in one group: g, kind, node, root, sketch."""
+    """Members of bands dealt out as pairs of parts, so that any two of a band meet in one group: g, kind, node, root, sketch, band, size, keys."""
     parts = F.ceil(F.col("n") / PART).cast("int")
     rows = rows.withColumns({"own": F.pmod(F.xxhash64("key", "node"), parts).cast("int"), "parts": parts})
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = rows.select("key", "node", "root", "sketch", "own", F.explode(pair).alias("p"))
+    dealt = rows.select("key", "node", "root", "sketch", "band", "size", "keys", "own", F.explode(pair).alias("p"))
     kind = F.when(F.col("p.i") == F.col("p.j"), 1).when(F.col("own") == F.col("p.i"), 0).otherwise(2)
-    return dealt.select(F.xxhash64("key", "p.i", "p.j").alias("g"), kind.alias("kind"), "node", "root", "sketch")
+    return dealt.select(F.xxhash64("key", "p.i", "p.j").alias("g"), kind.alias("kind"), "node", "root", "sketch", "band", "size", "keys")
 
 
-def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int, limit: int) -> tuple[DataFrame, bool]:
-    """Pairs a, b of sets that meet in a band, have different roots and agreeing sketches, and weren't tried: the best of each set.
-
-    With a `limit` all sets of a band are compared, so many candidates of each set are taken, and told is whether any are
-    left; with 0 sets are compared with the band's heads.
-    """
-    apart = cut(met.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
+def _apart(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of bands in which several roots meet, with their root and the band's number n of sets; and the written table that this reads."""
+    apart = cut(met.join(roots, "node", "left").select("key", "band", "node", "sketch", F.coalesce("root", "node").alias("root")))
     several = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    rows = apart.join(several, "key")
-    dealt = _every_pair(rows) if limit else _heads_first(rows, turn)
+    return apart.join(several, "key"), apart
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            g = f["g"].to_numpy()
-            last = int(np.searchsorted(g, g[-1])) if len(f) else 0
-            if last:
-                yield _agreeing(f.iloc[:last], limit or 1)
-            rest = f.iloc[last:]
-        if rest is not None and len(rest):
-            yield _agreeing(rest, limit or 1)
 
-    found = cut(dealt.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(run, "a bigint, b bigint, agree int, more boolean"))
-    more = bool(limit and found.where("more").head(1))
+def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs a, b of sets and heads of a band that have different roots and agreeing sketches, and weren't tried: the best of each set."""
+    rows, apart = _apart(met, roots)
+    found = cut(_by_group(_heads_first(rows, turn), _best))
     new = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b", "agree")
     if tried is not None:
         new = new.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
-    # A set has at most `limit` pairs of each part of its bands.
-    best = new.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "x", "y")), False), 1, limit or TRIES).alias("best"))
+    # A set has at most one pair of each part of its bands.
+    best = new.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "x", "y")), False), 1, TRIES).alias("best"))
     out = cut(best.select(F.inline("best")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     drop(apart, found)
-    return out, more
+    return out
+
+
+def _candidates(met: DataFrame, nodes: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """a, b, agree of all pairs of sets that meet in a band, have different roots and agreeing sketches, and weren't tried, as a written table."""
+    rows, apart = _apart(met, roots)
+    found = cut(_by_group(_every_pair(rows.join(nodes.select("node", "size", "keys"), "node")), _each))
+    out = cut(found.join(tried, ["a", "b"], "left_anti"))
+    drop(apart, found)
+    return out
+
+
+def _joined(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """The roots after further pairs are linked; those before are dropped."""
+    after = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near))
+    drop(roots)
+    return after
 
 
 def near_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -221,7 +255,7 @@ def near_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     texts = documents(docs, carry).withColumn("text_key", F.xxhash64("text"))
     sets = cut(_sets(texts), rows=1024)
-    nodes = cut(sets.groupBy("node").agg(*(F.min(c).alias(c) for c in ("text_key", "fp", "keys", "sketch"))))
+    nodes = cut(sets.groupBy("node").agg(*(F.min(c).alias(c) for c in ("text_key", "size", "fp", "keys", "sketch"))))
 
     # SimHash groups: each member against the least of its group.
     prints = cut(nodes.select("fp").distinct())
@@ -235,23 +269,28 @@ def near_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     # Bands in which several sets meet.
     rows = nodes.select("node", "sketch", F.posexplode("keys").alias("band", "key"))
     met = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
-    tried, turn, limit = None, 0, 0
-    while True:
-        tries, more = _tries(met if turn else met.where(F.col("band") < FIRST), roots, tried, turn, limit)
-        left = more or bool(tries.head(1))
+    tried, turn, joined = None, 0, True
+    while turn < 2 or joined:
+        tries = _tries(met if turn else met.where(F.col("band") < FIRST), roots, tried, turn)
         near = _similar(tries, nodes, texts)
         joined = bool(near.head(1))
-        if joined:
-            before, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near))
-            drop(before)
+        roots = _joined(roots, near) if joined else roots
         past, tried = tried, tries if tried is None else cut(tried.unionByName(tries))
         drop(near, *([past, tries] if past is not None else []))
-        if limit and not left:
-            break
-        # Heads first; when they join nothing more, every pair, with four times the candidates in each round until none is left.
-        if limit or (turn and not joined):
-            limit = 4 * limit or 2 * TRIES
         turn += 1
+    # What heads have not told: every pair, the best of each set first, as sets that are joined need no more.
+    left, limit = _candidates(met, nodes, roots, tried), 2 * TRIES
+    while left.head(1):
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        still = left.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+        still = cut(still.select("a", "b", "agree", nth.alias("nth")))
+        near = _similar(still.where(F.col("nth") <= limit).select("a", "b"), nodes, texts)
+        roots = _joined(roots, near) if near.head(1) else roots
+        before, left = left, cut(still.where(F.col("nth") > limit).select("a", "b", "agree"))
+        drop(before, still, near)
+        limit *= 4
+    drop(left)
     out = cut(sets.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("component"), *carried(sets)))
     drop(sets, nodes, prints, met, roots, tried)
     return out

@@ -89,3 +89,19 @@ def test_no_candidate_is_dropped_in_a_band_of_many(spark, tmp_path, monkeypatch)
     d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     assert 1 < len(want) < len(docs)
     assert {x.doc_id for x in stages.near_duplicate_groups(spark, d, str(tmp_path)).collect()} == want
+
+
+def test_a_candidate_is_made_once_however_many_bands_it_shares():
+    r, np = random.Random(4), near_sets.np
+    common = [r.getrandbits(64) for _ in range(90)]
+    sets = [np.array(sorted(common[: r.randrange(70, 91)] + [r.getrandbits(64) for _ in range(r.randrange(40))]), np.uint64) for _ in range(30)]
+    low = [near_sets.minima(s) for s in sets]
+    keys = [near_sets.band_keys(x) for x in low]
+    rows = [(keys[i][b], 1, i, i, low[i].astype(np.uint8).tobytes(), b, len(sets[i]), keys[i]) for i in range(30) for b in range(near_sets.BANDS)]
+    frame = near_sets.pd.DataFrame(sorted(rows, key=lambda x: (x[0], x[2])), columns=["g", "kind", "node", "root", "sketch", "band", "size", "keys"])
+    got = [(a, b) for f in near_sets._each(frame) for a, b in zip(f["a"], f["b"], strict=True)]
+    agree = lambda i, j: (low[i].astype(np.uint8) == low[j].astype(np.uint8)).sum() >= near_sets.AGREE
+    fits = lambda i, j: 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+    shared = {(i, j): (keys[i] == keys[j]).sum() for j in range(30) for i in range(j)}
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for (i, j), n in shared.items() if n and agree(i, j) and fits(i, j)}
+    assert sum(shared[p] > 1 for p in got) > 20
