@@ -107,3 +107,19 @@ def test_calls_of_an_entity_do_not_grow_with_its_times():
     assert handle.timers == {86_400_001} and handle.calls == 2
     events = list(fold.fold([(r.us, r.source, r.path, str(i)) for i, r in enumerate(reversed(rows))]))
     assert [e[3] for e in events].count("value") == 29 and handle.calls == 4
+
+
+def test_stream_folded_in_several_steps(spark, tmp_path):
+    """The watermark follows the documents, so each batch folds what came before onto what the state knows."""
+    rows = sorted(documents(), key=lambda r: r[2])
+    table = spark.createDataFrame(rows, SCHEMA)
+    want = {tuple(r) for r in history.observe(table, TEXT, VOLATILE).select("entity_id", "source", "at", "path", "kind", "from", "to").collect()}
+    times = sorted({r[2] for r in rows})
+    for low, high in ((0, 20), (20, 40), (40, len(times))):
+        own = set(times[low:high])
+        spark.createDataFrame([r for r in rows if r[2] in own], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    observe.closing_row(table, "1 HOURS").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fold = observe.ObservationFold(TEXT, VOLATILE, ("messages",), "gone", "api")
+    got = [tuple(r) for r in observe.fold_files(spark, stream, fold, "1 HOURS", str(tmp_path / "out"), str(tmp_path / "state")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | plain_status_and_metrics(rows)
