@@ -7,11 +7,12 @@ some agree but with a probability of `(1 - 0.8 ** ROWS) ** BANDS` at most, which
 Sets that meet in a band are compared by a byte of each of their minima, without their texts: at first with about HEADS of
 the band, by a hash that is new in each round. A hot band is dealt out in parts that all get its heads. Pairs whose bytes
 agree as often as a similar pair's do, but with a probability of some 5 in a million, are candidates; of each set's the best
-ones are verified by the whole sets. When such a round joins nothing, all sets of a band that are still apart are compared once,
-a large band as pairs of its parts, and each candidate is written once, by the first band that its sets share. Of these, rounds verify
-the best of each set, four times as many in each round, until none is left. So no candidate is dropped; groups that are joined
-cost nothing more, and only sets of very many different groups that share a band take work by the square of their number, in
-bounded memory.
+ones are verified by the whole sets. When such a round joins less than a tenth of what it tries, all sets of a band that are still apart
+are compared, a large band as pairs of its parts. This tells which sets have candidates at all; only their whole shingles then go to
+the bands, where every candidate is verified at once, by the first band that its sets share. No candidate is dropped and none
+is a row: what comes out is a row per set of a band, then the links that join the similar ones. Of a large band's largest
+joined group no two sets are dealt out together. Only sets of very many different groups that share a band take comparisons
+by the square of their number, in bounded memory.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import carried, carried_schema, cut, documents, drop, nullable_ints, slices, space_words
@@ -35,6 +36,10 @@ HEADS, PART, TRIES = 256, 4096, 2
 FIRST = 4
 #: Bytes of a sketch that agree in a candidate; of a similar pair's 96 it is 77 on average, with a deviation of 4.
 AGREE = 60
+#: Rounds with heads end when fewer than one in so many tries joins.
+GAIN = 10
+#: Shingles of the sets of a part of a band, at 8 bytes each, where whole sets are compared.
+WORDS = 1 << 20
 #: Sets that are looked up by a broadcast of their names, 16 bytes each; more are looked up by a shuffle.
 LOOKED_UP = 500_000
 
@@ -97,11 +102,18 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "doc_id bigint, node bigint, size int, fp bigint, keys array<bigint>, sketch binary, text_key bigint" + carried_schema(texts))
 
 
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and a text of it for the wanted ones of nodes, a written table; as a written table."""
+    named = cut(wanted.select("node").distinct().join(nodes.select("node", "text_key"), "node"))
+    keys = F.broadcast(named) if named.count() <= LOOKED_UP else named
+    whole = cut(texts.select("text_key", "text").join(keys, "text_key").groupBy("node").agg(F.any_value("text").alias("text")))
+    drop(named)
+    return whole
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs a, b of nodes, a written table, that are similar enough, by their whole sets, which are made again from the texts."""
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node"))
-    keys = F.broadcast(wanted) if wanted.count() <= LOOKED_UP else wanted
-    whole = cut(texts.select("text_key", "text").join(keys, "text_key").groupBy("node").agg(F.any_value("text").alias("text")))
+    whole = _texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, texts)
     both = pairs.join(whole.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     both = both.join(whole.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
 
@@ -116,7 +128,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield f.loc[keep, ["a", "b"]]
 
     near = cut(both.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), rows=256)
-    drop(wanted, whole)
+    drop(whole)
     return near
 
 
@@ -150,18 +162,58 @@ def _best(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _each(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """a, b, agree: all pairs that can be similar by their sizes, but for those that an earlier band of theirs has too."""
+    """a, b and their places i, j: all pairs that can be similar by their sizes and sketches, but for those that an earlier band of theirs has too."""
     node, band, size = (frame[c].to_numpy(np.int64) for c in ("node", "band", "size"))
     keys = np.stack(frame["keys"].to_numpy())
-    for a, b, agree in _agreeing(frame):
+    for a, b, _ in _agreeing(frame):
         earlier = ((keys[a] == keys[b]) & (np.arange(BANDS) < band[a][:, None])).any(axis=1)
         keep = ~earlier & (DEN * np.minimum(size[a], size[b]) >= NUM * np.maximum(size[a], size[b]))
-        a, b, agree = a[keep], b[keep], agree[keep]
-        yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "agree": agree})
+        a, b = a[keep], b[keep]
+        yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "i": a, "j": b})
 
 
-def _by_group(dealt: DataFrame, pairs: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
-    """What `pairs` makes of whole groups g, heads first: a, b, agree."""
+def _with_candidates(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """key, band, node: the members that have a candidate, once each, however many they have."""
+    has = np.zeros(len(frame), bool)
+    for pairs in _each(frame):
+        has[pairs["i"]] = has[pairs["j"]] = True
+    f = frame.loc[has, ["keys", "band", "node"]]
+    yield pd.DataFrame({"key": [k[b] for k, b in zip(f["keys"], f["band"], strict=True)], "band": f["band"], "node": f["node"]}).astype({"key": np.int64})
+
+
+def _links(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """a, b: of the candidates those similar by their whole sets, and of these a forest, which joins what all of them do."""
+    node = frame["node"].to_numpy(np.int64)
+    own = [np.frombuffer(x, np.uint64) for x in frame["whole"]]
+    size = np.array([len(x) for x in own])
+    ends = np.cumsum(size)
+    names, word = np.unique(np.concatenate(own), return_inverse=True)
+    words = [word[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    label = np.unique(frame["root"].to_numpy(np.int64), return_inverse=True)[1]
+    inside = np.zeros(len(names), bool)
+    links = []
+    for pairs in _each(frame):
+        pairs = pairs.sort_values("j", kind="stable")
+        i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, j[1:] != j[:-1]][: len(j)]).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(j)], strict=True):
+            b = int(j[lo])
+            a = i[lo:hi]
+            a = a[label[a] != label[b]]
+            if not len(a):
+                continue
+            inside[words[b]] = True
+            same = np.add.reduceat(inside[np.concatenate([words[x] for x in a.tolist()])].astype(np.int64), np.r_[0, np.cumsum(size[a])[:-1]])
+            inside[words[b]] = False
+            for x in a[DEN * same >= NUM * (size[a] + size[b] - same)].tolist():
+                if label[x] != label[b]:
+                    label[label == label[b]] = label[x]
+                    links.append((node[x], node[b]))
+    yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _by_group(dealt: DataFrame, pairs: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What `pairs` makes of whole groups g, heads first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -175,7 +227,7 @@ def _by_group(dealt: DataFrame, pairs: Callable[[pd.DataFrame], Iterator[pd.Data
         if rest is not None and len(rest):
             yield from pairs(rest)
 
-    return dealt.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(run, "a bigint, b bigint, agree int")
+    return dealt.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(run, schema)
 
 
 def _stretches(heads: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
@@ -200,14 +252,27 @@ def _heads_first(rows: DataFrame, turn: int) -> DataFrame:
     return dealt.select(F.xxhash64("key", "part").alias("g"), kind.alias("kind"), "node", "root", "sketch")
 
 
-def _every_pair(rows: DataFrame) -> DataFrame:
-    """Members of bands dealt out as pairs of parts, so that any two of a band meet in one group: g, kind, node, root, sketch, band, size, keys."""
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = rows.withColumns({"own": F.pmod(F.xxhash64("key", "node"), parts).cast("int"), "parts": parts})
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = rows.select("key", "node", "root", "sketch", "band", "size", "keys", "own", F.explode(pair).alias("p"))
+def _every_pair(rows: DataFrame, words: str | None = None) -> DataFrame:
+    """Members of bands dealt out as pairs of parts, so that any two of a band with different roots meet in one group: g, kind, and the columns of `rows`.
+
+    A large band's most frequent root has parts of its own, which don't meet each other. `words` names a column that bounds parts beside their number of members.
+    """
+    weight = F.col(words) if words else F.lit(0)
+    of_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("words"))
+    of_key = of_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max(F.struct("n", "root", "words")).alias("most"))
+    parts = lambda n, w: F.greatest(F.ceil(n / PART), F.ceil(w / WORDS), F.lit(1)).cast("int")
+    large = parts(F.col("n"), F.col("words")) > 1
+    own_parts = F.when(large, parts(F.col("most.n"), F.col("most.words"))).otherwise(0)
+    rest = F.when(large, parts(F.col("n") - F.col("most.n"), F.col("words") - F.col("most.words"))).otherwise(1)
+    of_key = of_key.select("key", F.when(large, F.col("most.root")).alias("most"), own_parts.alias("own_parts"), rest.alias("rest"))
+    among = F.coalesce(F.col("root") == F.col("most"), F.lit(False))
+    place = F.xxhash64("key", "node")
+    own = F.when(among, F.pmod(place, F.greatest("own_parts", F.lit(1)))).otherwise(F.col("own_parts") + F.pmod(place, F.col("rest"))).cast("int")
+    others = F.sequence(F.when(among, F.col("own_parts")).otherwise(0), F.col("own_parts") + F.col("rest") - 1)
+    pair = F.transform(others, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = rows.join(of_key, "key").withColumn("own", own).select(*rows.columns, "own", F.explode(pair).alias("p"))
     kind = F.when(F.col("p.i") == F.col("p.j"), 1).when(F.col("own") == F.col("p.i"), 0).otherwise(2)
-    return dealt.select(F.xxhash64("key", "p.i", "p.j").alias("g"), kind.alias("kind"), "node", "root", "sketch", "band", "size", "keys")
+    return dealt.select(F.xxhash64("key", "p.i", "p.j").alias("g"), kind.alias("kind"), *rows.columns)
 
 
 def _apart(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +285,7 @@ def _apart(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
     """Pairs a, b of sets and heads of a band that have different roots and agreeing sketches, and weren't tried: the best of each set."""
     rows, apart = _apart(met, roots)
-    found = cut(_by_group(_heads_first(rows, turn), _best))
+    found = cut(_by_group(_heads_first(rows, turn), _best, "a bigint, b bigint, agree int"))
     new = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b", "agree")
     if tried is not None:
         new = new.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
@@ -231,13 +296,25 @@ def _tries(met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int)
     return out
 
 
-def _candidates(met: DataFrame, nodes: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """a, b, agree of all pairs of sets that meet in a band, have different roots and agreeing sketches, and weren't tried, as a written table."""
+def _apart_but_similar(met: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b that join what all similar pairs do of sets that meet in a band and have different roots, as a written table.
+
+    Candidates are told by sketches first; the sets that have any are then compared as a whole, in the bands where they have some.
+    """
     rows, apart = _apart(met, roots)
-    found = cut(_by_group(_every_pair(rows.join(nodes.select("node", "size", "keys"), "node")), _each))
-    out = cut(found.join(tried, ["a", "b"], "left_anti"))
-    drop(apart, found)
-    return out
+    members = rows.select("key", "band", "node", "root", "sketch").join(nodes.select("node", "size", "keys"), "node")
+    some = cut(_by_group(_every_pair(members), _with_candidates, "key bigint, band int, node bigint").distinct())
+    members = some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "sketch", "size", "keys"), "node")
+    of_some = _texts_of(some, nodes, texts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in slices(frames, 1024):
+            yield pd.DataFrame({"node": f["node"], "whole": [shingles(t).tobytes() for t in f["text"]]})
+
+    whole = cut(of_some.mapInPandas(run, "node bigint, whole binary"), rows=1024)
+    near = cut(_by_group(_every_pair(members, "size").join(whole, "node"), _links, "a bigint, b bigint").distinct(), rows=256)
+    drop(apart, some, of_some, whole)
+    return near
 
 
 def _joined(roots: DataFrame, near: DataFrame) -> DataFrame:
@@ -273,24 +350,16 @@ def near_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     while turn < 2 or joined:
         tries = _tries(met if turn else met.where(F.col("band") < FIRST), roots, tried, turn)
         near = _similar(tries, nodes, texts)
-        joined = bool(near.head(1))
-        roots = _joined(roots, near) if joined else roots
+        links = near.count()
+        roots = _joined(roots, near) if links else roots
+        joined = links > 0 and GAIN * links >= tries.count()
         past, tried = tried, tries if tried is None else cut(tried.unionByName(tries))
         drop(near, *([past, tries] if past is not None else []))
         turn += 1
-    # What heads have not told: every pair, the best of each set first, as sets that are joined need no more.
-    left, limit = _candidates(met, nodes, roots, tried), 2 * TRIES
-    while left.head(1):
-        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        still = left.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
-        still = cut(still.select("a", "b", "agree", nth.alias("nth")))
-        near = _similar(still.where(F.col("nth") <= limit).select("a", "b"), nodes, texts)
-        roots = _joined(roots, near) if near.head(1) else roots
-        before, left = left, cut(still.where(F.col("nth") > limit).select("a", "b", "agree"))
-        drop(before, still, near)
-        limit *= 4
-    drop(left)
+    # What heads have not told.
+    near = _apart_but_similar(met, nodes, roots, texts)
+    roots = _joined(roots, near) if near.head(1) else roots
+    drop(near)
     out = cut(sets.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("component"), *carried(sets)))
     drop(sets, nodes, prints, met, roots, tried)
     return out

@@ -105,3 +105,49 @@ def test_a_candidate_is_made_once_however_many_bands_it_shares():
     shared = {(i, j): (keys[i] == keys[j]).sum() for j in range(30) for i in range(j)}
     assert len(got) == len(set(got)) and set(got) == {(i, j) for (i, j), n in shared.items() if n and agree(i, j) and fits(i, j)}
     assert sum(shared[p] > 1 for p in got) > 20
+
+
+def test_nearly_similar_sets_make_no_row_a_pair(spark, tmp_path, monkeypatch):
+    """Sets that share bands and are all nearly similar: rows follow the sets and not their pairs, and what is similar is joined."""
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(70)]
+    docs = []
+    for i in range(240):
+        tail = [f"t{i}_{k}" for k in range(13)]
+        docs.append((i, " ".join(common + tail)))
+        if i % 6 == 0:
+            docs.append((1000 + i, " ".join(common + tail[:9] + [f"u{i}_{k}" for k in range(4)])))
+    r.shuffle(docs)
+    want, sets = survivors(docs)
+    assert 1 < len(want) < len(docs) and sum(0.65 < jaccard(x, y) < 0.8 for i, x in enumerate(sets) for y in sets[:i]) > 30_000
+    made, cut = [], near_sets.cut
+
+    def counted(df, rows=None):
+        out = cut(df, rows)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_sets, "cut", counted)
+    monkeypatch.setattr(near_sets, "HEADS", 0)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(near_sets, "PART", 96)
+    monkeypatch.setattr(near_sets, "WORDS", 4000, raising=False)
+    assert {x.doc_id for x in stages.near_duplicate_groups(spark, d, str(tmp_path)).collect()} == want
+    assert max(made) <= near_sets.BANDS * len(docs)
+
+
+def test_sets_that_are_joined_are_not_dealt_out_against_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_sets, "PART", 16)
+    roots = [0] * 300 + list(range(1, 41))
+    rows = [(7, 2, i, roots[i], b"", 90, [], len(roots)) for i in range(len(roots))] + [(8, 2, 1000 + i, i, b"", 90, [], 3) for i in range(3)]
+    d = spark.createDataFrame(rows, "key bigint, band int, node bigint, root bigint, sketch binary, size int, keys array<bigint>, n bigint")
+    dealt = near_sets._every_pair(d).select("g", "kind", "node", "root").collect()
+    groups, met = {}, []
+    for x in dealt:
+        groups.setdefault(x.g, []).append(x)
+    for g in groups.values():
+        met += [frozenset((a.node, b.node)) for a in g for b in g if a.root != b.root and (a.kind, b.kind) in ((0, 2), (1, 1)) and (a.kind == 0 or a.node < b.node)]
+    want = {frozenset((i, j)) for j in range(len(roots)) for i in range(j) if roots[i] != roots[j]}
+    want |= {frozenset((1000 + i, 1000 + j)) for j in range(3) for i in range(j)}
+    assert set(met) == want and len(met) == len(want)
+    assert len(dealt) <= 300 * 3 + 40 * 22 + 3
